@@ -68,7 +68,7 @@ def lines_of(page: str, gap: int) -> list[Line]:
         at = tag.end()
         name = (tag.group(2) or "").lower()
         closing, attributes = tag.group(1) == "/", tag.group(3) or ""
-        if not name or (attributes.endswith("/") and name not in BLOCK and name not in VOID):
+        if not name:
             continue
         if skip:
             if name == skip:

@@ -51,12 +51,15 @@ def remove_dir(spark: SparkSession, path: str) -> None:
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished steps now, so that they do not add up on disk."""
     import gc
+    import time
 
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):  # the cleaner works beside us, on what the collector found
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
-LOCATOR = ("__file", "__row")
+LOCATOR = ("__weft_file", "__weft_row")
 
 
 def located(docs: DataFrame) -> DataFrame:
