@@ -76,6 +76,8 @@ class Computation:
         self._keep(path)
         seen = watched.get
         self.active, self.size, self.shares = seen["active"], seen["all"], seen["shares"]
+        # where every edge ends at a vertex, only injected messages can miss
+        self.dangling = self.config.on_missing_target != "drop" and not PropertyGraph(self.vertices, edges).dangling().isEmpty()
 
     def _keep(self, path: str) -> None:
         """Only the last two states of the vertices stay on disk."""
@@ -144,7 +146,7 @@ class Computation:
             )
         else:
             after = v.withColumn("did_signal", F.lit(False))
-        if sent is not None and c.on_missing_target != "drop":
+        if sent is not None and c.on_missing_target != "drop" and (self.dangling or self.injected is not None):
             after = self._missing(sent, after)
         combined = self._combined(v, sent, signal)
         if collect or p.memory == "fold":
