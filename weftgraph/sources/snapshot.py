@@ -10,7 +10,7 @@ from weftgraph.plans.engine import FLAGS
 
 
 def save(graph: PropertyGraph, path: str) -> None:
-    graph.vertices.drop(*FLAGS, "last_signal_state").write.mode("overwrite").parquet(f"{path}/vertices")
+    graph.vertices.drop(*FLAGS, "last_signal_state", "shares").write.mode("overwrite").parquet(f"{path}/vertices")
     graph.edges.write.mode("overwrite").parquet(f"{path}/edges")
 
 
