@@ -1,16 +1,17 @@
 """Removal of repeated passages by prefix-free parsing.
 
-Rolling-hash triggers cut every text into phrases. A trigger is a place whose rolling hash (of TRIGGER bytes) is the least of a stretch
-that a window of `length` bytes holds, the leftmost of equal ones; so every window holds a trigger that depends on nothing but
-the window, and equal windows hold it at the same place. A phrase is the run of windows with the same trigger; with the
-`length` - 1 bytes that follow it is the shortest text that says all about its windows. The dictionary holds
+Rolling-hash triggers cut every text into phrases. A trigger is a place whose rolling hash is the least of a stretch that
+a window of `length` bytes holds, the leftmost of equal ones; so every window holds a trigger that depends on nothing
+but the window, and equal windows hold it at the same place. A phrase is the run of windows with the same trigger; with
+the `length` - 1 bytes that follow it is the shortest text that says all about its windows. The dictionary holds
 distinct phrases, the parse is the corpus as phrases.
 
 Equal phrases (the order of the parse, to the depth of those bytes) decide most windows at once: all but the first
-occurrence of a phrase are repeated as a whole, whatever they hold. Only first occurrences of different phrases around the same
-trigger can share some windows and not others. For these the suffixes of the dictionary are sorted to the depth of `length`
-bytes; equal suffixes with the earliest place of each, known from the parse, give the corpus order of the
-windows, as far as it matters here. Nothing is paired up: each step keeps the least place of a class.
+occurrence of a phrase are repeated as a whole, whatever they hold. Only first occurrences of different phrases around
+the same trigger can share some windows and not others. Those are parsed again with wider triggers, that is into shorter
+phrases (TRIGGERS); of what is still open the suffixes are sorted to the depth of `length` bytes, and equal suffixes with
+the earliest place of each, known from the parse, give the corpus order of the windows, as far as it matters
+here. Nothing is paired up: each step keeps the least place of a class.
 
 Each step first merges what a batch of documents holds, so a text that a third of the corpus repeats sends one record
 for each batch, not for each document.
@@ -19,6 +20,7 @@ for each batch, not for each document.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -29,11 +31,12 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.shared import LOCATOR, free_shuffles, located, store, text_or_empty
 
-TRIGGER = 32
+#: Bytes of a trigger in the first parse and in the one of what that leaves open.
+TRIGGERS = (32, 88)
 CHUNK = 4 << 20
 MULTIPLIER = 0x9E3779B97F4A7C15
 #: What a row of the working tables holds.
-MARKS, PHRASES, SUFFIXES, WANTED = 0, 1, 2, 3
+MARKS, WANTED, SUFFIXES, PHRASES = 0, 1, 2, 3  # phrases of the second parse: PHRASES + 1
 WORK = "kind int, key bigint, payload binary"
 PHRASE = np.dtype([("trigger", "<u8"), ("phrase", "<u8"), ("doc", "<i8"), ("uid", "<i8"), ("start", "<u4"), ("n", "<u2"), ("sorted", "?")])
 SUFFIX = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("doc", "<i8"), ("uid", "<i8"), ("start", "<u4")])
@@ -41,12 +44,54 @@ RUN = np.dtype([("start", "<u4"), ("n", "<u4")])
 LEAST = -(1 << 63)
 
 
+def planes(x: np.ndarray) -> bytes:
+    """The bytes of numbers, all lowest ones first: high ones are mostly zero then, side by side, and compress away."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def from_planes(data: bytes, at: int, n: int, dtype: str) -> tuple[np.ndarray, int]:
+    size = n * np.dtype(dtype).itemsize
+    part = np.frombuffer(data, np.uint8, size, at).reshape(-1, n)
+    return np.ascontiguousarray(part.T).view(dtype).reshape(-1), at + size
+
+
+def write_phrases(r: np.ndarray) -> bytes:
+    """Phrase records as columns. A document's numbers are written once; of a trigger's hash six bytes, as phrases that only seem to share one do no harm."""
+    r = r[np.lexsort((r["start"], r["uid"], r["doc"]))]
+    at = np.flatnonzero(_starts(r["doc"], r["uid"]))
+    counts = np.diff(np.append(at, len(r))).astype("<u4")
+    trigger = np.ascontiguousarray(r["trigger"]).view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    columns = [planes(x) for x in (r["doc"][at], r["uid"][at], counts)] + [trigger] + [planes(r[c]) for c in ("phrase", "start", "n", "sorted")]
+    return np.array([len(at), len(r)], "<u4").tobytes() + b"".join(columns)
+
+
+def read_phrases(data: bytes) -> np.ndarray:
+    docs, n = np.frombuffer(data, "<u4", 2).tolist()
+    r, at = np.zeros(n, PHRASE), 8
+    doc, at = from_planes(data, at, docs, "<i8")
+    uid, at = from_planes(data, at, docs, "<i8")
+    counts, at = from_planes(data, at, docs, "<u4")
+    r["doc"], r["uid"] = np.repeat(doc, counts), np.repeat(uid, counts)
+    trigger = np.zeros((n, 8), np.uint8)
+    trigger[:, :6] = np.frombuffer(data, np.uint8, 6 * n, at).reshape(n, 6)
+    r["trigger"], at = trigger.view("<u8").reshape(-1), at + 6 * n
+    for c, kind in (("phrase", "<u8"), ("start", "<u4"), ("n", "<u2"), ("sorted", "?")):
+        r[c], at = from_planes(data, at, n, kind)
+    return r
+
+
 def rolling_hashes(data: np.ndarray, width: int) -> np.ndarray:
-    """A polynomial hash of each stretch of width (a power of two) bytes, mixed."""
+    """A polynomial hash of each stretch of width bytes, mixed."""
+    n = len(data) - width + 1
     with np.errstate(over="ignore"):
-        h, factor, have = data.astype(np.uint64) + np.uint64(1), np.uint64(MULTIPLIER), 1
-        while have < width:
-            h = h[:-have] * factor + h[have:]
+        power, factor, have = data.astype(np.uint64) + np.uint64(1), np.uint64(MULTIPLIER), 1
+        h, done = np.zeros(n, np.uint64), 0
+        while have <= width:
+            if width & have:  # these bytes come next in the stretch
+                h = h * factor + power[done : done + n]
+                done += have
+            if 2 * have <= width:
+                power = power[:-have] * factor + power[have:]
             factor, have = factor * factor, have * 2
         h ^= h >> np.uint64(31)
         h *= np.uint64(0xBF58476D1CE4E5B9)
@@ -61,16 +106,34 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - have)], x[width - have :]) if have < width else x
 
 
-def phrases(data: bytes, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Trigger hash, first window and number of windows of each phrase."""
-    low = np.uint64((1 << 24) - 1)
-    windows = len(data) - length + 1
-    for at in range(0, windows, CHUNK):
-        part = np.frombuffer(data, np.uint8)[at : at + CHUNK + length - 1]
-        h = rolling_hashes(part, TRIGGER)
-        place = sliding_min(h & ~low | np.arange(len(h), dtype=np.uint64), length - TRIGGER + 1) & low
-        first = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
-        yield h[place[first].astype(np.int64)], first + at, np.diff(np.append(first, len(place)))
+def phrases(items: list[tuple[int, int, bytes, list[tuple[int, int]]]], length: int, trigger: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Records of the phrases in items (doc, uid, data, runs of windows), and the item of each. Many runs are parsed at a time."""
+    low, digest = np.uint64((1 << 24) - 1), xxhash.xxh3_64_intdigest
+    todo = [(i, s + at, min(CHUNK, n - at)) for i, (_, _, _, runs) in enumerate(items) for s, n in runs for at in range(0, n, CHUNK)]
+    while todo:
+        size = taken = 0
+        while taken < len(todo) and (not size or size + todo[taken][2] + length <= 2 * CHUNK):
+            size += todo[taken][2] + length - 1
+            taken += 1
+        part, todo = todo[:taken], todo[taken:]
+        buffer = b"".join([items[i][2][s : s + n + length - 1] for i, s, n in part])
+        n = np.array([x[2] for x in part])
+        offset = np.cumsum(n + length - 1) - (n + length - 1)
+        # windows that lie in one run, by their place in the buffer
+        which = np.repeat(np.arange(len(part)), n)
+        window = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + offset[which]
+        h = rolling_hashes(np.frombuffer(buffer, np.uint8), trigger)
+        place = (sliding_min(h & ~low | np.arange(len(h), dtype=np.uint64), length - trigger + 1) & low)[window]
+        first = np.flatnonzero(_starts(place, which))
+        count, whose = np.diff(np.append(first, len(place))), which[first]
+        r = np.zeros(len(first), PHRASE)
+        item = np.array([x[0] for x in part])[whose]
+        r["trigger"], r["n"] = h[place[first].astype(np.int64)], count
+        r["start"] = window[first] - offset[whose] + np.array([x[1] for x in part])[whose]
+        r["doc"], r["uid"] = np.array([x[0] for x in items], np.int64)[item], np.array([x[1] for x in items], np.int64)[item]
+        begin = window[first]
+        r["phrase"] = [digest(buffer[a:z]) for a, z in zip(begin.tolist(), (begin + count + length - 1).tolist())]
+        yield r, item
 
 
 def _starts(*keys: np.ndarray) -> np.ndarray:
@@ -110,7 +173,8 @@ class Out:
         bucket, records = bucket[order], records[order]
         at = np.flatnonzero(_starts(bucket)) if len(bucket) else np.zeros(0, np.int64)
         for a, z in zip(at.tolist(), [*at[1:].tolist(), len(bucket)]):
-            self.rows.append((kind, int(bucket[a]), records[a:z].tobytes()))
+            part = records[a:z]
+            self.rows.append((kind, int(bucket[a]), write_phrases(part) if kind >= PHRASES else part.tobytes()))
 
     def batch(self) -> pa.RecordBatch:
         rows, self.rows = self.rows, []
@@ -142,20 +206,15 @@ def sort_suffixes(texts: list[tuple[bytes, int, int, list[tuple[int, int]]]], le
     out.dealt(SUFFIXES, records, records["h1"])
 
 
-def parse(docs: list[tuple[int, int, bytes]], length: int, out: Out) -> None:
-    """Phrases of a batch of (doc, uid, data): mark repeats, sort the suffixes of those that meet here, send on the rest."""
-    found, digest = [], xxhash.xxh3_64_intdigest
-    for i, (doc, uid, data) in enumerate(docs):
-        if len(data) < length:
-            continue
-        for trigger, start, n in phrases(data, length):
-            r = np.zeros(len(start), PHRASE)
-            r["trigger"], r["start"], r["n"], r["doc"], r["uid"] = trigger, start, n, doc, uid
-            r["phrase"] = [digest(data[a:z]) for a, z in zip(start.tolist(), (start + n + length - 1).tolist())]
-            found.append((r, np.full(len(start), i, np.int64)))
+def parse(items: list[tuple[int, int, bytes, list[tuple[int, int]]]], length: int, out: Out, level: int = 0) -> None:
+    """Phrases of the runs of a batch: mark repeats, look closer at those that meet here, send on the rest."""
+    if level == len(TRIGGERS):
+        return sort_suffixes([(data, doc, uid, runs) for doc, uid, data, runs in items], length, out)
+    found = list(phrases(items, length, TRIGGERS[level]))
     if not found:
-        return
+        return None
     r, at = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+    del found
     order = np.lexsort((r["start"], r["uid"], r["doc"], r["phrase"], r["trigger"]))
     r, at = r[order], at[order]
     first = _starts(r["trigger"], r["phrase"])
@@ -165,13 +224,24 @@ def parse(docs: list[tuple[int, int, bytes]], length: int, out: Out) -> None:
     lead = _starts(r["trigger"])
     group = np.cumsum(lead) - 1
     several = np.bincount(group)[group] > 1
-    runs: dict[int, list[tuple[int, int]]] = {}
-    for i, s, n in zip(at[several].tolist(), r["start"][several].tolist(), r["n"][several].tolist()):
-        runs.setdefault(i, []).append((s, n))
-    sort_suffixes([(docs[i][2], docs[i][0], docs[i][1], x) for i, x in runs.items()], length, out)
     r["sorted"] = several
-    r = r[lead | ~several]
-    out.dealt(PHRASES, r, r["trigger"])
+    keep = r[lead | ~several]
+    out.dealt(PHRASES + level, keep, keep["trigger"])
+    open_ = sorted(zip(at[several].tolist(), r["start"][several].tolist(), r["n"][several].tolist()))
+    del r, at, keep, order, group
+    parse([(*items[i][:3], joined([x[1:] for x in runs])) for i, runs in groupby(open_, key=lambda x: x[0])], length, out, level + 1)
+    return None
+
+
+def joined(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs in order, those that touch as one."""
+    out: list[list[int]] = []
+    for s, n in runs:
+        if out and out[-1][0] + out[-1][1] == s:
+            out[-1][1] += n
+        else:
+            out.append([s, n])
+    return [(s, n) for s, n in out]
 
 
 def meet_phrases(r: np.ndarray, out: Out) -> None:
@@ -203,17 +273,17 @@ def covered(runs: list[bytes], length: int) -> list[tuple[int, int]]:
     return list(zip(start[at].tolist(), end[np.append(at[1:], len(end)) - 1].tolist()))
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, batch_bytes: int = 24 << 20, bucket_bytes: int = 16 << 20) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, batch_bytes: int = 24 << 20, bucket_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame]:
     """(rows, runs): the rows of docs as id, uid, text; and for each uid with any, its runs of repeated windows.
 
-    A window (length bytes, at least TRIGGER) is repeated if an equal one starts earlier: in a row with a smaller id
+    A window (length bytes, more than the triggers have) is repeated if an equal one starts earlier: in a row with a smaller id
     (null the smallest; rows of the same id in a fixed order of their places), or in the same row. Bytes are those of UTF-8. bucket_bytes of text
     go to one bucket, so the buckets grow with the corpus. Ids are integers.
     """
     spark = docs.sparkSession
     rows = located(docs).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(*LOCATOR).alias("uid"), text_or_empty(text_col).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // bucket_bytes))
+    buckets = max(16, -(-total // bucket_bytes))
 
     def batches_of(batches, columns):
         held, size = [], 0
@@ -233,43 +303,57 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def first_pass(batches):
         out = Out(buckets)
         for held in batches_of(batches, ("id", "uid", "text")):
-            parse([(number(i), u, t.encode("utf-8", "surrogatepass")) for i, u, t in held], length, out)
+            items = [(number(i), u, t.encode("utf-8", "surrogatepass")) for i, u, t in held]
+            parse([(*x, [(0, len(x[2]) - length + 1)]) for x in items if len(x[2]) >= length], length, out)
             yield out.batch()
 
+    def closer(level):
+        def run(batches):
+            out = Out(buckets)
+            for held in batches_of(batches, ("id", "uid", "text", "runs")):
+                parse([(number(i), u, t.encode("utf-8", "surrogatepass"), joined(sorted(tuple(x) for p in runs for x in np.frombuffer(p, RUN).tolist()))) for i, u, t, runs in held], length, out, level)
+                yield out.batch()
+
+        return run
+
     def meet(table: pa.Table) -> pa.Table:
+        """All of one bucket; rows of other kinds, beside the buckets, go through."""
         out = Out(buckets)
-        kinds, payloads = table.column("kind").to_pylist(), table.column("payload").to_pylist()
-        for kind, dtype, step in ((PHRASES, PHRASE, meet_phrases), (SUFFIXES, SUFFIX, meet_suffixes)):
-            records = b"".join(p for k, p in zip(kinds, payloads) if k == kind)
-            if records:
-                step(np.frombuffer(records, dtype), out)
+        if table.column("place")[0].as_py() < 0:
+            return table.select(["kind", "key", "payload"])
+        if table.column("kind")[0].as_py() == SUFFIXES:
+            meet_suffixes(np.concatenate([np.frombuffer(p, SUFFIX) for p in table.column("payload").to_pylist()]), out)
+        else:
+            meet_phrases(np.concatenate([read_phrases(p) for p in table.column("payload").to_pylist()]), out)
         return pa.Table.from_batches([out.batch()])
 
-    def second_pass(batches):
-        out = Out(buckets)
-        for held in batches_of(batches, ("id", "uid", "text", "runs")):
-            sort_suffixes([(t.encode("utf-8", "surrogatepass"), number(i), u, [tuple(x) for p in runs for x in np.frombuffer(p, RUN).tolist()]) for i, u, t, runs in held], length, out)
-            yield out.batch()
+    def met(work: DataFrame, kind: int, label: str) -> DataFrame:
+        """Rows of the kind meet by bucket; all others go through the same exchange, spread."""
+        aside = F.lit(-1) - F.pmod(F.xxhash64("kind", "key"), F.lit(buckets))
+        place = F.when(F.col("kind") == kind, F.col("key")).otherwise(aside)
+        return store(work.select("*", place.alias("place")).groupBy("place").applyInArrow(meet, WORK), label)[0]
 
-    # marks and suffixes of the first pass go by the side of the buckets, through the same exchange
-    parsed = rows.mapInArrow(first_pass, WORK)
-    met = F.col("kind") == PHRASES
-    aside = F.when(met, F.col("key")).otherwise(F.lit(-1) - F.pmod(F.col("key"), F.lit(buckets)))
+    def wanted(work: DataFrame, level: int) -> DataFrame:
+        """A closer look at the runs that a meeting left open."""
+        runs = work.where(F.col("kind") == WANTED).groupBy(F.col("key").alias("uid")).agg(F.collect_list("payload").alias("runs"))
+        return store(rows.join(runs, "uid").select("id", "uid", "text", "runs").mapInArrow(closer(level), WORK), f"parsed-{level}")[0]
 
-    def meet_or_pass(table: pa.Table) -> pa.Table:
-        kind = table.column("kind")
-        phrases_ = table.filter(pa.compute.equal(kind, PHRASES))
-        others = table.filter(pa.compute.not_equal(kind, PHRASES)).select(["kind", "key", "payload"])
-        return pa.concat_tables([others, meet(phrases_.select(["kind", "key", "payload"]))]) if len(phrases_) else others
-
-    one, _ = store(parsed.select("*", aside.alias("place")).groupBy("place").applyInArrow(meet_or_pass, WORK), "phrases-met")
-    free_shuffles(spark)
-    wanted = one.where(F.col("kind") == WANTED).groupBy(F.col("key").alias("uid")).agg(F.collect_list("payload").alias("runs"))
-    two, _ = store(rows.join(wanted, "uid").select("id", "uid", "text", "runs").mapInArrow(second_pass, WORK), "suffixes-sorted")
+    # each step's shuffle is let go before the next begins
+    done = [met(rows.mapInArrow(first_pass, WORK), PHRASES, "met-0")]
     free_shuffles(spark)
-    sorted_ = one.where(F.col("kind") == SUFFIXES).union(two.where(F.col("kind") == SUFFIXES))
-    three, _ = store(sorted_.groupBy("key").applyInArrow(meet, WORK), "suffixes-met")
-    marks = one.union(two).union(three).where(F.col("kind") == MARKS)
+    for level in range(1, len(TRIGGERS) + 1):
+        done.append(wanted(done[-1], level))
+        free_shuffles(spark)
+        kind = PHRASES + level if level < len(TRIGGERS) else SUFFIXES
+        gathered = done[0]
+        for frame in done[1:]:
+            gathered = gathered.union(frame)
+        done.append(met(gathered.where(F.col("kind") == kind), kind, f"met-{level}"))
+        free_shuffles(spark)
+    every = done[0]
+    for frame in done[1:]:
+        every = every.union(frame)
+    marks = every.where(F.col("kind") == MARKS)
     return rows, marks.groupBy(F.col("key").alias("uid")).agg(F.collect_list("payload").alias("runs"))
 
 
