@@ -34,7 +34,7 @@ class ExecutionConfig:
 
     should_stop: called with the vertices after every check_every collect steps. on_missing_target: what happens to a message
     for a vertex that doesn't exist: error, drop or create (with create_state). partitions: of edges and vertices; None: the session's.
-    hub_edges: out-edges of one vertex that a partition takes before they are spread.
+    hub_edges: out-edges of one vertex that a partition takes before they are spread. adaptive_edges: edges from which steps are planned adaptively.
     """
 
     mode: Mode = Mode.SYNCHRONOUS
@@ -48,6 +48,7 @@ class ExecutionConfig:
     create_state: Callable | None = None
     partitions: int | None = None
     hub_edges: int = 1_000_000
+    adaptive_edges: int = 5_000_000
 
     def with_(self, **changes) -> ExecutionConfig:
         return replace(self, **changes)

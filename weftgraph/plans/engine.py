@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation
@@ -70,12 +71,12 @@ class Computation:
         self._edges = salted.repartition(n, "src", "salt").persist(StorageLevel.MEMORY_AND_DISK)
         watched = Observation()
         v = prepared(graph.vertices.drop("shares"), self.program, self.config.signal_threshold)
-        v = v.join(out.select(F.col("src").alias("id"), shares.alias("shares")), "id", "left").na.fill(1, ["shares"])
-        v = v.observe(watched, F.count(F.lit(1)).alias("all"), F.count_if("q_signal").alias("active"), F.coalesce(F.max("shares"), F.lit(1)).alias("shares"))
-        self.vertices, path = write_table(v, "vertices")
+        v = v.join(out.select(F.col("src").alias("id"), shares.alias("shares"), F.col("out_degree").alias("__degree")), "id", "left").na.fill(1, ["shares"])
+        v = v.observe(watched, F.count(F.lit(1)).alias("all"), F.count_if("q_signal").alias("active"), F.coalesce(F.max("shares"), F.lit(1)).alias("shares"), F.coalesce(F.sum("__degree"), F.lit(0)).alias("edges"))
+        self.vertices, path = write_table(v.drop("__degree"), "vertices")
         self._keep(path)
         seen = watched.get
-        self.active, self.size, self.shares = seen["active"], seen["all"], seen["shares"]
+        self.active, self.size, self.shares, self.n_edges = seen["active"], seen["all"], seen["shares"], seen["edges"]
         # where every edge ends at a vertex, only injected messages can miss
         self.dangling = self.config.on_missing_target != "drop" and not PropertyGraph(self.vertices, edges).dangling().isEmpty()
 
@@ -104,6 +105,19 @@ class Computation:
         v = v.withColumn("q_collect", F.col("q_collect") | F.coalesce(self.program.score_collect() > self.config.collect_threshold, F.lit(False)))
         self._set(PropertyGraph(v, self._plain_edges))
 
+    @contextmanager
+    def _planned(self) -> Iterator[None]:
+        """Small graphs are stepped without adaptive planning, whose stage-by-stage jobs cost more there than they save."""
+        before = self.spark.conf.get("spark.sql.adaptive.enabled")
+        small = self.n_edges < self.config.adaptive_edges
+        if small:
+            self.spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            yield
+        finally:
+            if small:
+                self.spark.conf.set("spark.sql.adaptive.enabled", before)
+
     # one step
 
     def _messages(self, sources: DataFrame, state: str) -> DataFrame:
@@ -117,6 +131,10 @@ class Computation:
 
     def step(self, *, signal: bool = True, collect: bool = True) -> StepMetrics:
         """One signal step and one collect step (or one of them)."""
+        with self._planned():
+            return self._step(signal, collect)
+
+    def _step(self, signal: bool, collect: bool) -> StepMetrics:
         began, p, c = time.monotonic(), self.program, self.config
         v = self.vertices
         sent = self._messages(v.where("q_signal"), "state").select("dst", "src", "signal", "weight") if signal else None

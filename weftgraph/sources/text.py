@@ -29,9 +29,9 @@ def read_adjacency(spark: SparkSession, path: str, lines_matter: bool = True) ->
     """
     if lines_matter:
         words = _tokens(spark.read.text(path)).where(F.size("words") > 0).select(F.transform("words", lambda w: w.cast("long")).alias("n"))
-        wrong = ~F.coalesce(F.size("n") == F.get("n", F.lit(1)) + 2, F.lit(False))
+        wrong = ~F.coalesce(F.size("n") == F.get("n", F.lit(1)) + 2, F.size("n") == 0)
         rows = words.select(F.when(wrong, F.raise_error(F.lit("a record is not as long as it says"))).otherwise(F.col("n")).alias("n"))
-        return rows.select(F.get("n", F.lit(0)).alias("id"), F.slice("n", 3, F.size("n")).alias("targets"))
+        return rows.where(F.size("n") > 0).select(F.get("n", F.lit(0)).alias("id"), F.slice("n", 3, F.size("n")).alias("targets"))
 
     def records(batches):
         import pandas as pd
@@ -93,3 +93,19 @@ def consecutive(rows: DataFrame, key: str, order: list[str], block: str) -> Data
     ends = b.groupBy("__block").agg(F.min_by(key, at).alias("first"), F.max_by(key, at).alias("last"))
     across = ends.select(F.col("last").alias("src"), F.lead("first").over(Window.orderBy("__block")).alias("dst")).where("dst IS NOT NULL")
     return inside.union(across).where("src <> dst").distinct()
+
+
+def crawl(pages: DataFrame, seeds: list[str], depth: int, url_col: str = "url", html_col: str = "html") -> PropertyGraph:
+    """The link graph within depth clicks of the seed addresses: vertices are addresses, edges go from a page to the hrefs on it.
+
+    pages stand for the web: an address without a page has no links. Each level joins only the addresses found last.
+    """
+    level = pages.sparkSession.createDataFrame([(s,) for s in seeds], "id string").distinct()
+    found, edges = level, page_links(pages, url_col, html_col)
+    taken = edges.where("false")
+    for _ in range(depth):
+        out = edges.join(level.withColumnRenamed("id", "src"), "src", "left_semi")
+        taken = taken.union(out)
+        level = out.select(F.col("dst").alias("id")).distinct().join(found, "id", "left_anti")
+        found = found.union(level)
+    return PropertyGraph.of(taken, found)
