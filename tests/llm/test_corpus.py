@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-import zlib
 
 import numpy as np
 import pytest
@@ -352,7 +351,7 @@ def test_the_path_is_the_search_s():
         def value(path):
             return sum(s[i, p] for i, p in enumerate(path)) - penalty * sum(a != b for a, b in zip(path, path[1:]))
         best = max(value(p) for p in np.ndindex(*[langs] * n)) if n < 7 else None
-        model = langid.Model(["a", "b", "c"], {}, {}, np.zeros(3), {}, 3, 99, penalty)
+        model = langid.Model(["a", "b", "c"], {}, np.zeros((1, 3)), {}, np.zeros((1, 3)), {}, 3, 99, penalty)
         model.rows = lambda words, s=s: s
         got = value(model.spans(["w"] * n).tolist())
         assert got == value(langid.viterbi(s, penalty).tolist()) and (best is None or abs(got - best) < 1e-9)

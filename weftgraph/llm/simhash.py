@@ -79,7 +79,7 @@ def links(fps: DataFrame, bits: int = 2, probe: int = 4, long_list: int = 64) ->
 
     keys = F.array(*[F.struct(F.lit(i).alias("set"), F.col("fp").bitwiseAND(F.lit(mask(s)).cast("long")).alias("octets")) for i, s in enumerate(sets)])
     postings = fps.select("fp", F.explode(keys).alias("key"))
-    # a list keeps long_list + 1 members at most while it is gathered, then only says that it is long
+    # lists of one are most, and go before any list is gathered
     sizes = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sizes, _ = store(sizes, "posting-sizes")
     short = postings.join(sizes.where(F.col("n") <= long_list), "key", "left_semi").groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("members"))
