@@ -24,7 +24,6 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +32,7 @@ from weftgraph.llm.shared import LOCATOR, free_shuffles, located, store, text_or
 
 #: Bytes of a trigger in the first parse and in the one of what that leaves open.
 TRIGGERS = (32, 88)
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 MULTIPLIER = 0x9E3779B97F4A7C15
 #: What a row of the working tables holds.
 MARKS, WANTED, SUFFIXES, PHRASES = 0, 1, 2, 3  # phrases of the second parse: PHRASES + 1
@@ -273,7 +272,7 @@ def covered(runs: list[bytes], length: int) -> list[tuple[int, int]]:
     return list(zip(start[at].tolist(), end[np.append(at[1:], len(end)) - 1].tolist()))
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, batch_bytes: int = 24 << 20, bucket_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, batch_bytes: int = 16 << 20, bucket_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame]:
     """(rows, runs): the rows of docs as id, uid, text; and for each uid with any, its runs of repeated windows.
 
     A window (length bytes, more than the triggers have) is repeated if an equal one starts earlier: in a row with a smaller id
