@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from bisect import bisect_right
 from collections import Counter, defaultdict
@@ -13,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.shared import text_or_empty
+from weftgraph.llm.shared import store, text_or_empty
 
 #: First code points of script ranges, in order: fixed values of the Unicode blocks. Anything below the first is Latin.
 SCRIPTS = [
@@ -40,52 +39,69 @@ def pieces(word: str, order: int) -> list[str]:
 
 @dataclass
 class Model:
-    """langs; per-language log-probabilities of words and of character pieces; the scripts of each language."""
+    """langs; log-probabilities of words and of character pieces, a row each and a column a language; the scripts of each language.
+
+    Scores of words seen lately are kept, at most `kept` of them.
+    """
 
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: dict[str, np.ndarray]
-    unseen_gram: np.ndarray
+    words: dict[str, int]
+    word_rows: np.ndarray
+    grams: dict[str, int]
+    gram_rows: np.ndarray  # the last row is for pieces that aren't in grams
     scripts: dict[str, list[bool]]
     order: int
     most: float
     penalty: float
     kept: int = 300_000
-    cache: dict = field(default_factory=dict, repr=False)
-
-    def score(self, word: str) -> np.ndarray:
-        """One number a language, the best 0 and none under -most; -most also for a language that doesn't use the word's script."""
-        found = self.words.get(word)
-        if found is None:
-            found = sum(self.grams.get(g, self.unseen_gram) for g in pieces(word, self.order))
-        allowed = self.scripts.get(script_of(word[0]))
-        if allowed is not None and any(allowed):
-            found = np.where(allowed, found, -np.inf)
-        return np.maximum(found - found.max(), -self.most)
+    known: dict[str, int] = field(default_factory=dict, repr=False)
+    scores: np.ndarray | None = field(default=None, repr=False)
+
+    def score(self, words: list[str]) -> np.ndarray:
+        """A row for each word, a column for each language: the best 0 and none under -most; -most also for a language that doesn't use the word's script."""
+        out = np.empty((len(words), len(self.langs)))
+        whole = [self.words.get(w, -1) for w in words]
+        unseen = len(self.gram_rows) - 1
+        at, ids, starts, look = [], [], [], self.grams.get
+        for i, (w, k) in enumerate(zip(words, whole)):
+            if k >= 0:
+                out[i] = self.word_rows[k]
+            else:
+                at.append(i)
+                starts.append(len(ids))
+                ids += [look(g, unseen) for g in pieces(w, self.order)]
+        if at:
+            out[at] = np.add.reduceat(self.gram_rows[ids], starts, axis=0)
+        for i, w in enumerate(words):
+            allowed = self.scripts.get("latin" if w[0] < "\u0370" else script_of(w[0]))
+            if allowed is not None and any(allowed) and not all(allowed):
+                out[i] = np.where(allowed, out[i], -np.inf)
+        return np.maximum(out - out.max(axis=1, keepdims=True), -self.most)
 
     def rows(self, words: list[str]) -> np.ndarray:
-        cache, out = self.cache, []
-        if len(cache) > self.kept:
-            cache.clear()
-        for w in words:
-            s = cache.get(w)
-            if s is None:
-                s = self.score(w)
-                if len(w) <= 40:
-                    cache[w] = s
-            out.append(s)
-        return np.array(out)
+        if self.scores is None or len(self.known) > self.kept:
+            self.known, self.scores = {}, np.empty((1024, len(self.langs)))
+        known = self.known
+        new = [w for w in dict.fromkeys(words) if w not in known]
+        if new:
+            n = len(known)
+            while len(self.scores) < n + len(new):
+                self.scores = np.concatenate([self.scores, np.empty_like(self.scores)])
+            self.scores[n : n + len(new)] = self.score(new)
+            known.update(zip(new, range(n, n + len(new))))
+        return self.scores[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]
 
     def spans(self, words: list[str]) -> np.ndarray:
         """The index of each word's language on the best path, a switch costing penalty.
 
-        Where no other language gains more than a penalty over the best single one on any stretch, no switch can pay, and the
-        path is constant; that is tested first on whole columns, and gives the very path that the search would.
+        Where no other language gains more than half a penalty over the best single one on any stretch, no switch can pay: k stretches
+        in other languages gain k halves and cost k - 1 switches at least, and one over all words gains nothing. That is
+        tested first, on whole columns; the path is then constant, as the search would find.
         """
         s = self.rows(words)
         best = int(s.sum(axis=0).argmax())
         gain = np.cumsum(np.vstack([np.zeros(s.shape[1]), s - s[:, [best]]]), axis=0)
-        if (gain - np.minimum.accumulate(gain, axis=0)).max() <= self.penalty:
+        if (gain - np.minimum.accumulate(gain, axis=0)).max() <= self.penalty / 2:
             return np.full(len(words), best)
         return viterbi(s, self.penalty)
 
@@ -100,17 +116,19 @@ class Model:
 
 
 def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
+    """The best path; only the values are kept on the way, since they say from where each state was reached."""
     rows = scores.tolist()
-    value, back = rows[0], []
+    values = [rows[0]]
     for row in rows[1:]:
-        top = max(range(len(value)), key=value.__getitem__)
-        jump = value[top] - penalty
-        back.append([top if jump > v else i for i, v in enumerate(value)])
-        value = [max(v, jump) + x for v, x in zip(value, row)]
-    state = max(range(len(value)), key=value.__getitem__)
+        value = values[-1]
+        jump = max(value) - penalty
+        values.append([(v if v >= jump else jump) + x for v, x in zip(value, row)])
+    state = max(range(len(rows[0])), key=values[-1].__getitem__)
     path = [state]
-    for step in reversed(back):
-        state = step[state]
+    for value in reversed(values[:-1]):
+        top = max(value)
+        if value[state] < top - penalty:
+            state = value.index(top)
         path.append(state)
     return np.array(path[::-1])
 
@@ -120,12 +138,12 @@ def train(
     text_col: str = "text",
     lang_col: str = "lang",
     id_col: str = "doc_id",
-    sample_rows: int = 20_000,
+    sample_rows: int = 6_000,
     most_words: int = 60_000,
     most_grams: int = 60_000,
     order: int = 3,
-    most: float = 6.0,
-    penalty: float = 12.0,
+    most: float = 5.0,
+    penalty: float = 20.0,
 ) -> Model:
     """Fit on about sample_rows labelled rows (all if there are fewer), chosen by a hash of their id, whole texts.
 
@@ -138,49 +156,49 @@ def train(
     rows = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share)
 
     def count(batches):
-        words, grams, scripts = Counter(), Counter(), Counter()
+        tables = {kind: defaultdict(Counter) for kind in ("word", "gram", "script")}
 
         def out():
-            for kind, counts in (("word", words), ("gram", grams), ("script", scripts)):
-                keys = list(counts)
-                yield pa.RecordBatch.from_arrays([pa.array([kind] * len(keys)), pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())], ["kind", "lang", "item", "n"])
-                counts.clear()
+            for kind, by_lang in tables.items():
+                for lang, counts in by_lang.items():
+                    n = len(counts)
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.string()), pa.array([lang] * n, pa.string()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["kind", "lang", "item", "n"])
+                by_lang.clear()
 
         for b in batches:
             for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()):
-                for w, n in Counter(WORD.findall(text.lower())).items():
-                    words[lang, w] += n
-                    scripts[lang, script_of(w[0])] += n
+                grams, scripts, found = tables["gram"][lang], tables["script"][lang], Counter(WORD.findall(text.lower()))
+                tables["word"][lang].update(found)
+                for w, n in found.items():
+                    scripts[script_of(w[0])] += n
                     for g in pieces(w, order):
-                        grams[lang, g] += n
-            if len(words) > 300_000:
+                        grams[g] += n
+            if sum(map(len, tables["word"].values())) > 300_000:
                 yield from out()
         yield from out()
 
     counts = rows.select("text", "lang").mapInArrow(count, "kind string, lang string, item string, n bigint").groupBy("kind", "lang", "item").agg(F.sum("n").alias("n"))
     by_item = counts.groupBy("kind", "item").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    from weftgraph.llm.shared import store
-
     by_item, _ = store(by_item, "language-counts")
     tables: dict[str, dict[str, dict[str, int]]] = {}
     for kind, size in (("word", most_words), ("gram", most_grams), ("script", 1000)):
         top = by_item.where(F.col("kind") == kind).where(F.col("n") > (1 if kind == "word" else 0)).orderBy(F.desc("n"), "item").limit(size)
-        tables[kind] = {r["item"]: {x["lang"]: x["n"] for x in r["by"]} for r in top.select("item", "by").toLocalIterator()}
+        found = top.select("item", "by").toArrow()  # bounded by size
+        tables[kind] = {i: {x["lang"]: x["n"] for x in by} for i, by in zip(found["item"].to_pylist(), found["by"].to_pylist())}
     langs = sorted({lang for by in tables["gram"].values() for lang in by})
 
-    def logs(table: dict[str, dict[str, int]], add: float) -> tuple[dict[str, np.ndarray], np.ndarray]:
-        sums: dict[str, float] = defaultdict(float)
-        for by in table.values():
-            for lang, n in by.items():
-                sums[lang] += n
-        floor = [sums[lang] + add * (len(table) + 1) for lang in langs]
-        return {k: np.array([math.log((by.get(x, 0) + add) / f) for x, f in zip(langs, floor)]) for k, by in table.items()}, np.array([math.log(add / f) for f in floor])
+    def logs(table: dict[str, dict[str, int]], add: float) -> tuple[dict[str, int], np.ndarray]:
+        """The number of each item and its row; a last row for what isn't in the table."""
+        counts = np.array([[by.get(lang, 0) for lang in langs] for by in table.values()] + [[0] * len(langs)], float).reshape(-1, len(langs)) + add
+        return dict(zip(table, range(len(table)))), np.log(counts / counts.sum(axis=0))
 
-    words, _ = logs(tables["word"], 0.5)
-    grams, unseen = logs(tables["gram"], 0.5)
+    if not langs:
+        return Model([], {}, np.zeros((1, 0)), {}, np.zeros((1, 0)), {}, order, most, penalty)
+    words, word_rows = logs(tables["word"], 0.5)
+    grams, gram_rows = logs(tables["gram"], 0.5)
     uses = {lang: sum(by.get(lang, 0) for by in tables["script"].values()) for lang in langs}
     scripts = {k: [by.get(lang, 0) >= 0.01 * uses[lang] for lang in langs] for k, by in tables["script"].items()}
-    return Model(langs, words, grams, unseen, scripts, order, most, penalty)
+    return Model(langs, words, word_rows, grams, gram_rows, scripts, order, most, penalty)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", prefix: str = "lang_") -> DataFrame:
