@@ -6,9 +6,13 @@ edit distance between the item and some stretch of the document is at most `edit
 The CGK walk reads a word sequence from a start: at step j it emits the current word and moves on if a random bit of (j,
 word) says so. Sequences a few edits apart so give strings of small Hamming distance. `walks` independent walks are taken,
 and from each `samples` random sets of `bits` positions are the keys of hash tables. Items are entered from each of their
-words on, and every word of every document that the benchmark has is looked up, so an edit near an item's start costs no
+words that at least min_words begin at, and every word of every document that the benchmark has is looked up, so an edit near an item's start costs no
 recall: a hit at word o of an item and word p of a document proposes the item-sized window that starts at p - o. A window with
 fewer of the item's words than its distance demands is dropped, which loses nothing; the others are verified.
+
+Walks alone miss short items, whose few words leave most samples past their end. So each item is also cut into one piece more
+than the edits it may have: one piece at least stands unchanged in any stretch within the distance. The first `WIDEST` words of
+each piece are looked up at every word of a document, which proposes every such stretch.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from pyspark.sql import functions as F
 from weftgraph.llm.shared import text_or_empty
 
 WORD = re.compile(r"\w+")
+#: Words of a piece that are looked up.
+WIDEST = 5
 
 
 def words_of(text: str) -> list[str]:
@@ -73,11 +79,27 @@ class Index:
         self.mix = rng.integers(1, 1 << 62, (walks, samples, bits), dtype=np.int64).astype(np.uint64) | np.uint64(1)
         long = [(k, t) for k, t in enumerate(self.tokens) if len(t) >= min_words]
         flat = np.array([w for _, t in long for w in [*t, *[end] * steps]], np.int32)
-        places, at = [], 0
+        places, at, firsts = [], 0, {}
         for k, t in long:
+            firsts[k] = at
             places += [(k, o, at + o) for o in range(max(1, len(t) - min_words + 1))]
             at += len(t) + steps
         self.places = np.array(places, np.int64).reshape(-1, 3)
+        #: for each length of piece: a filter, the keys in order, and the (item, offset) of each
+        self.pieces = []
+        cut = defaultdict(list)
+        for k, t in long:
+            parts = self.most[k] + 1
+            ends = [len(t) * i // parts for i in range(parts + 1)]
+            for o, z in zip(ends, ends[1:]):
+                cut[min(z - o, WIDEST)].append((k, o, firsts[k] + o))
+        for width, rows in sorted(cut.items()):
+            rows = np.array(rows, np.int64)
+            keys = self._runs(flat, rows[:, 2], width)
+            order = np.argsort(keys, kind="stable")
+            hit = np.zeros(1 << 20, bool)
+            hit[keys >> np.uint64(44)] = True
+            self.pieces.append((width, hit, keys[order], rows[order, :2]))
         #: for each walk and sample: a filter on the top bits of a key, the keys in order, and their places
         self.tables = []
         for walk in range(walks):
@@ -104,15 +126,35 @@ class Index:
             key = key * np.uint64(0x9E3779B97F4A7C15) + strings[p].astype(np.uint64) * self.mix[walk, sample, i]
         return key ^ key >> np.uint64(29)
 
+    def _runs(self, flat: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+        key = np.zeros(len(starts), np.uint64)
+        for i in range(width):
+            key = (key + flat[starts + i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(29)
+        return key
+
     def _windows(self, docs: list[np.ndarray]) -> dict[tuple[int, int], set[int]]:
         """Proposed first words of windows for each (text, item)."""
         found: dict[tuple[int, int], set[int]] = defaultdict(set)
-        pad = np.zeros(self.steps + 1, np.int32)
+        pad = np.zeros(max(self.steps + 1, WIDEST), np.int32)
         flat = np.concatenate([x for ids in docs for x in (ids, pad)])
         begins = np.cumsum([0, *[len(ids) + len(pad) for ids in docs]])
         starts = np.flatnonzero(flat)
         for lo in range(0, len(starts), 1 << 16):
             part = starts[lo : lo + (1 << 16)]
+            run, ran = part, 0
+            for width, hit, keys, rows in self.pieces:
+                for i in range(ran, width):  # no piece has a word that the benchmark hasn't
+                    run = run[flat[run + i] > 0]
+                ran = width
+                mine = self._runs(flat, run, width)
+                some = np.flatnonzero(hit[mine >> np.uint64(44)])
+                first, last = np.searchsorted(keys, mine[some]), np.searchsorted(keys, mine[some], "right")
+                some, first, last = some[last > first], first[last > first], last[last > first]
+                of = np.searchsorted(begins, run[some], "right") - 1
+                for d, w, a, z in zip(of.tolist(), (run[some] - begins[of]).tolist(), first.tolist(), last.tolist()):
+                    for k, o in rows[a:z].tolist():
+                        found[d, k].add(w - o)
             for walk, row in enumerate(self.tables):
                 strings = self._embed(flat, part, walk)
                 for s, (hit, keys, order) in enumerate(row):
