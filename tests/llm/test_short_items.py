@@ -25,3 +25,11 @@ def test_items_of_5_to_12_words_are_all_found(edited):
     found = {f[:2] for f in decontaminate.Index(items, **decontaminate.OPTIONS).search(texts)}
     want = {(d, k) for d, t in enumerate(texts) for k, x in items if plain_distance(x.split(), t.split(), 0) <= int(0.2 * len(x.split()))}
     assert found == want and len(want) >= 160
+
+
+def test_items_without_spaces_and_of_few_long_words():
+    chinese = "机器学习是人工智能的一个分支，它研究计算机怎样从数据中学习。"
+    items = [(0, chinese), (1, "internationalization standardization"), (2, "one two"), (3, "ภาษาไทยเขียนติดกันโดยไม่เว้นวรรค")]
+    texts = ["前言。" + chinese + "后记" * 9, "前言" + chinese.replace("数据", "资料") + "后记", "about Internationalization, standardization and more", "one two three", "One two!", "คำนำ" + items[3][1] + "จบ", "前言后记"]
+    found = decontaminate.Index(items, **decontaminate.OPTIONS).search(texts)
+    assert {f[:2] for f in found} == {(0, 0), (1, 0), (2, 1), (4, 2), (5, 3)}

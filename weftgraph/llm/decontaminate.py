@@ -1,6 +1,6 @@
 """Benchmark decontamination: CGK embeddings and bit-sampling LSH over item-sized windows, then exact edit verification.
 
-Texts are read as words (letters, digits and underscores, lower-cased). A document is contaminated by an item if the word
+Texts are read as words (letters, digits and underscores, lower-cased; a character each in scripts without spaces). A document is contaminated by an item if the word
 edit distance between the item and some stretch of the document is at most `edits` times the item's words.
 
 The CGK walk reads a word sequence from a start: at step j it emits the current word and moves on if a random bit of (j,
@@ -28,13 +28,16 @@ from pyspark.sql import functions as F
 
 from weftgraph.llm.shared import text_or_empty
 
-WORD = re.compile(r"\w+")
+#: Scripts that are written without spaces: Thai, Lao, Burmese, Khmer, kana and Han.
+SPACELESS = "\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ece\u0edc-\u0edf\u1000-\u103f\u1050-\u108f\u1780-\u17d3\u3005-\u3007\u3041-\u3096\u309d-\u309f\u30a1-\u30fa\u30fc-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
+ASCII_WORD = re.compile(r"\w+")
+WORD = re.compile(rf"[{SPACELESS}]|[^\W{SPACELESS}]+")
 #: Words of a piece that are looked up.
 WIDEST = 5
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    return (ASCII_WORD if text.isascii() else WORD).findall(text.lower())
 
 
 def closest(item: list[int], stretch: list[int], most: int) -> tuple[int, int, int]:
@@ -61,7 +64,7 @@ def closest(item: list[int], stretch: list[int], most: int) -> tuple[int, int, i
 class Index:
     """Hash tables over the CGK embeddings of a block of items."""
 
-    def __init__(self, items: list[tuple[object, str]], edits: float, min_words: int, walks: int, steps: int, samples: int, bits: int, seed: int):
+    def __init__(self, items: list[tuple[object, str]], edits: float, min_words: int, min_chars: int, walks: int, steps: int, samples: int, bits: int, seed: int):
         self.min_words, self.steps = min_words, steps
         self.items = [(i, w) for i, w in ((i, words_of(t)) for i, t in items) if w]
         self.vocabulary = {w: n for n, w in enumerate(dict.fromkeys(w for _, ws in self.items for w in ws), 1)}
@@ -69,20 +72,21 @@ class Index:
         self.sets = [frozenset(t) for t in self.tokens]
         self.most = [int(edits * len(t)) if len(t) >= min_words else 0 for t in self.tokens]
         self.exact: dict[tuple[int, ...], list[int]] = defaultdict(list)
+        chars = [sum(map(len, ws)) for _, ws in self.items]
         for k, t in enumerate(self.tokens):
-            if len(t) < min_words:
+            if len(t) < min_words and chars[k] < min_chars:
                 self.exact[tuple(t)].append(k)
         rng = np.random.default_rng(seed)
         end = len(self.vocabulary) + 1  # stands after an item's last word, and in no document
         self.moves = rng.integers(0, 2, (walks, steps, end + 1), dtype=np.int32)
         self.picks = [[np.sort(rng.choice(steps, bits, replace=False)).tolist() for _ in range(samples)] for _ in range(walks)]
         self.mix = rng.integers(1, 1 << 62, (walks, samples, bits), dtype=np.int64).astype(np.uint64) | np.uint64(1)
-        long = [(k, t) for k, t in enumerate(self.tokens) if len(t) >= min_words]
+        long = [(k, t) for k, t in enumerate(self.tokens) if len(t) >= min_words or chars[k] >= min_chars]
         flat = np.array([w for _, t in long for w in [*t, *[end] * steps]], np.int32)
         places, at, firsts = [], 0, {}
         for k, t in long:
             firsts[k] = at
-            places += [(k, o, at + o) for o in range(max(1, len(t) - min_words + 1))]
+            places += [(k, o, at + o) for o in range(len(t) - min_words + 1)]
             at += len(t) + steps
         self.places = np.array(places, np.int64).reshape(-1, 3)
         #: for each length of piece: a filter, the keys in order, and the (item, offset) of each
@@ -175,7 +179,7 @@ class Index:
             docs.append(np.fromiter(map(token, words, repeat(0)), np.int32, len(words)))
             if 0 < len(words) < self.min_words:
                 out += [(d, k, 0, 0, len(words)) for k in self.exact.get(tuple(docs[-1].tolist()), [])]
-        for (d, k), starts in self._windows(docs).items() if docs and len(self.places) else ():
+        for (d, k), starts in self._windows(docs).items() if docs and self.pieces else ():
             item, most, shared, best = self.tokens[k], self.most[k], self.sets[k], None
             for s in sorted(starts):
                 lo = max(0, s - most)
@@ -203,14 +207,15 @@ def _blocks(benchmark: DataFrame, item_id: str, text_col: str, block_items: int)
         yield block
 
 
-OPTIONS = {"edits": 0.2, "min_words": 5, "walks": 3, "steps": 14, "samples": 2, "bits": 6, "seed": 5}
+OPTIONS = {"edits": 0.2, "min_words": 5, "min_chars": 20, "walks": 3, "steps": 14, "samples": 2, "bits": 6, "seed": 5}
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_items: int = 5000, **options) -> DataFrame:
     """One row per document row and item that contaminates it: the id column, the item column, distance, start_word, n_words, item_words.
 
     Items go out in blocks of block_items (a broadcast of known size), and each block is held against all documents in one pass
-    without a shuffle. Items of fewer than min_words words count only where they are the whole document; items without words, and documents
+    without a shuffle. Items of fewer than min_words words are looked for without edits, and where they have
+    fewer than min_chars characters in their words, count only where they are the whole document; items without words, and documents
     without any, match nothing. Null texts are empty; repeated items and rows give a row each; extra columns aren't read.
     """
     spark, settings = docs.sparkSession, OPTIONS | options
