@@ -15,12 +15,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Elements whose content is never shown, or shown but never main text.
-RAW = "script style noscript template svg math iframe object canvas textarea select option button".split()
+#: Elements whose content is never shown (RAW and QUIET; what is in RAW isn't markup), or shown but never main text.
+RAW = "script style iframe textarea".split()
+QUIET = set("noscript template svg math object canvas select datalist optgroup option button".split())
 SKIP = set("head title nav footer aside form menu dialog fieldset label".split())
 MAIN = {"article", "main"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
+CONTAINERS = set("html body div section article main center hgroup header details td".split())
+#: Start tags that end an open element of the name, unless one of the second set is open in between. P is ended by any block.
+IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option", "optgroup"} | BLOCK, set()), "td": ({"td", "th", "tr", "tbody"}, {"table"}), "th": ({"td", "th", "tr", "tbody"}, {"table"}), "tr": ({"tr", "tbody"}, {"table"}), "p": (BLOCK, set()), "head": (BLOCK - {"head", "html"}, set())}
+#: Skipped elements, besides those with a hint, that can be wrapped around the main text.
+WRAPPERS = {"form", "fieldset", "label", "dialog"}
 SECTION = {"article", "main", "section", "body"}
 #: Words of a class, id or role that mark what isn't main text.
 HINTS = re.compile(
@@ -39,69 +45,150 @@ class Line:
     text: str
     links: int  # characters of it that stand in links
     main: int  # number of the outermost article or main element around it, 0 for none
+    path: tuple[int, ...] = ()  # the open containers around it
+
+
+@dataclass
+class Skipped:
+    tag: int  # number of its start tag
+    chars: int = 0
+    main_chars: int = 0  # characters of it in article or main elements
+    main: bool = False  # whether it holds a main element
 
 
 def lines_of(page: str, gap: int) -> list[Line]:
-    """Lines of a page, empty ones where something was left out and around sections."""
+    """Lines of a page, empty ones where something was left out and around sections.
+
+    A block that would be left out stays if it is a wrapper: if it holds a main element, articles with at least half as much text
+    as there is outside of what is left out, or over twice that text. What is to be left out inside of it still goes.
+    """
     page = GONE.sub(" ", page)
+    tags, wrappers = list(TAG.finditer(page)), set()
+    while True:
+        lines, skipped = _walk(page, tags, gap, wrappers)
+        rest = sum(len(x.text) for x in lines)
+        found = [s for s in skipped if s.chars and (s.main or (s.main_chars and 2 * s.main_chars >= rest) or s.chars > 2 * rest)]
+        if not found:
+            return lines
+        wrappers.add(max(found, key=lambda s: (s.main, s.main_chars, s.chars, -s.tag)).tag)
+
+
+def _walk(page: str, tags: list[re.Match], gap: int, wrappers: set[int]) -> tuple[list[Line], list[Skipped]]:
+    """Lines, and the skipped blocks that can be wrappers."""
     out: list[Line] = []
+    skipped: list[Skipped] = []
     text: list[str] = []
-    linked = link_depth = main = main_depth = mains = skip_depth = 0
-    skip = main_tag = ""
+    opened: list[tuple[str, int]] = []  # open blocks with their numbers
+    inner: list[str] = []  # open blocks within what is skipped
+    linked = link_depth = main = mains = 0
+    main_at = -1  # place of the outermost article or main element among the open blocks
+    skip, noted = "", None
 
     def close() -> None:
         nonlocal linked
         joined = SPACE.sub(" ", html.unescape("".join(text))).strip()
         if joined:
-            out.append(Line(joined, linked, main))
+            out.append(Line(joined, linked, main, tuple(i for n, i in opened if n in CONTAINERS)))
         text.clear()
         linked = 0
 
     def blank() -> None:
         out.extend([Line("", 0, main)] * gap)
 
+    def cut(n: int) -> None:
+        nonlocal main, main_at
+        del opened[n:]
+        if main and n <= main_at:
+            main, main_at = 0, -1
+
+    def last(name: str) -> int:
+        return next((i for i in range(len(opened) - 1, -1, -1) if opened[i][0] == name), -1)
+
     at = 0
-    for tag in TAG.finditer(page):
-        if not skip and tag.start() > at:
-            text.append(page[at : tag.start()])
-            linked += (tag.start() - at) * bool(link_depth)
+    for number, tag in enumerate(tags):
+        piece = page[at : tag.start()]
+        if not skip:
+            text.append(piece)
+            linked += len(piece) * bool(link_depth)
+        elif noted:
+            n = len(SPACE.sub(" ", piece).strip())
+            noted.chars += n
+            noted.main_chars += n * (not MAIN.isdisjoint(inner))
         at = tag.end()
         name = (tag.group(2) or "").lower()
         closing, attributes = tag.group(1) == "/", tag.group(3) or ""
         if not name:
             continue
         if skip:
-            if name == skip:
-                skip_depth += -1 if closing else 1
-                if skip_depth == 0:
+            if closing:
+                if name in inner:
+                    del inner[len(inner) - 1 - inner[::-1].index(name) :]
+                    continue
+                if name != skip and last(name) < 0:
+                    continue
+                done, skip = name == skip, ""
+                if done:
+                    continue
+            else:
+                ends, between = IMPLIED.get(skip, ((), ()))
+                if name in ends and name not in VOID and not (inner if skip == "p" else between & set(inner)):
                     skip = ""
-            elif skip == "head" and name == "body" and not closing:
-                skip = ""
-            continue
+                else:
+                    if name not in VOID and (name in BLOCK or name in SKIP or name == skip) and not (name in ("svg", "math") and attributes.endswith("/")):
+                        inner.append(name)
+                        if noted and name == "main":
+                            noted.main = True
+                    continue
         if name == "a":
             link_depth = max(0, link_depth + (-1 if closing else 1))
-        if name not in BLOCK and name not in SKIP:
-            if closing or name in VOID or not HINTS.search(_hints(attributes)):
-                continue
+        if name in QUIET:
+            text.append(" ")
+            if not closing and not attributes.endswith("/"):
+                skip, noted = name, None
+                inner.clear()
+            continue
+        hinted = not closing and name not in VOID and name not in MAIN and name not in ("html", "body") and bool(HINTS.search(_hints(attributes)))
+        if name not in BLOCK and name not in SKIP and not hinted:
+            continue
         close()
-        if not closing and name not in VOID and name not in ("html", "body") and (name in SKIP or (name == "header" and not main) or (name not in MAIN and HINTS.search(_hints(attributes)))):
-            skip, skip_depth = name, 1
+        if closing:
+            n = last(name)
+            if name in SECTION:
+                blank()
+            if n >= 0:
+                cut(n)
+            continue
+        if name in VOID:
+            continue
+        if opened and opened[-1][0] == "p":
+            cut(len(opened) - 1)
+        for i in range(len(opened) - 1, -1, -1):
+            ends, between = IMPLIED.get(opened[i][0], ((), ()))
+            if opened[i][0] not in ("p", "head") and name in ends:
+                cut(i)
+                break
+            if opened[i][0] in ("ul", "ol", "menu", "dl", "table", "div", "section", "article", "body"):
+                break
+        if number not in wrappers and (name in SKIP or (name == "header" and not main) or hinted):
+            skip, noted = name, None
+            inner.clear()
+            if not main and (name in WRAPPERS or (hinted and name not in SKIP and name != "header")):
+                noted = Skipped(number)
+                skipped.append(noted)
             blank()
             continue
         if name in SECTION:
             blank()
-        if name in MAIN:
-            if not main and not closing:
-                mains += 1
-                main, main_tag, main_depth = mains, name, 1
-            elif main and name == main_tag:
-                main_depth += -1 if closing else 1
-                if main_depth == 0:
-                    main = 0
+        if name in MAIN and not main:
+            mains += 1
+            main, main_at = mains, len(opened)
+        opened.append((name, number + 1))
     if not skip and at < len(page):
         text.append(page[at:])
+    elif noted and skip:
+        noted.chars += len(page[at:].strip())
     close()
-    return out
+    return out, skipped
 
 
 def _hints(attributes: str) -> str:
