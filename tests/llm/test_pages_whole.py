@@ -9,6 +9,15 @@ from weftgraph.llm.html_extract import extract
 A, B, C = ("Alpha text of the page, long enough. " * 9).strip(), ("Beta goes on with it, a bit shorter. " * 3).strip(), ("Gamma ends the page's text at last. " * 3).strip()
 
 
+@pytest.mark.parametrize("page", [
+    f"<body><div>Site</div><nav>n</nav><div class=content><p>{A}</p><div class=ad>Buy</div><p>{B}</p><aside>x</aside><p>{C}</p></div><div class=footer>f</div></body>",
+    f"<body><div><section><p>{A}</p></section><section><p>{B}</p></section><section><p>{C}</p></section></div></body>",
+    f"<body><article><p>{A}</p></article><article><p>{B}</p></article><article>{C}</article></body>",
+])
+def test_no_part_is_dropped(page):
+    assert extract(page) == f"{A} {B} {C}"
+
+
 @pytest.mark.parametrize("page", [
     f"<body><div><p class=notice>Notice<p>{A}</p></div></body>",
     f"<body><div><ul><li class=ad>Buy<li>{A}</ul></div></body>",

@@ -214,27 +214,43 @@ def segments(weights: list[int], window: int) -> list[tuple[int, int]]:
     return out
 
 
+def _shared(paths: list[tuple[int, ...]]) -> tuple[int, ...]:
+    low, high = min(paths), max(paths)
+    return low[: next((i for i, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))]
+
+
+def joined(lines: list[Line], found: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """Groups of neighbouring candidates that were cut apart within one container, or whose containers have one parent.
+
+    Right under what holds the whole page only candidates with a line of prose (80 characters) are joined, as the name of a site and its footer stand there too.
+    """
+    texts = [[x for x in lines[a:b] if x.text] for a, b in found]
+    homes, prose = [_shared([x.path for x in t]) for t in texts], [max(len(x.text) for x in t) >= 80 for t in texts]
+    root, out = _shared(homes) if homes else (), []
+    for i, s in enumerate(found):
+        if out:
+            a, b = homes[i - 1], homes[i]
+            near = a == b or a[:-1] == b[:-1] or a == b[: len(a)] or b == a[: len(b)]
+            if near and (min(len(_shared([a, b])), len(a), len(b)) > len(root) or (prose[i - 1] and prose[i])):
+                out[-1].append(s)
+                continue
+        out.append([s])
+    return out
+
+
 def extract(page: str, window: int = 3, near: float = 0.5) -> str:
     """The main text: blocks in page order, joined by one space; empty if there is none.
 
-    Candidates inside article or main elements win over others; of several such elements the one with the most text. On
-    a page without them the largest candidate stays, and others with at least `near` of its text. Lines of mostly links weigh nothing, but stay if they lie between.
+    All text in article and main elements stays and wins over other text. On a page without such text candidates of one container
+    are taken together; the largest group stays, and others with at least `near` of its text. Lines of mostly links weigh nothing, but stay if they lie between.
     """
     lines = lines_of(page, window)
-    mains: dict[int, int] = {}
-    for line in lines:
-        if line.main:
-            mains[line.main] = mains.get(line.main, 0) + len(line.text)
-    if any(mains.values()):
-        chosen = max(mains, key=lambda m: (mains[m], -m))
-        found = segments([len(x.text) if x.main == chosen else 0 for x in lines], window)
-    else:
-        weights = [0 if 2 * x.links > len(x.text) else len(x.text) for x in lines]
-        found = segments(weights, window)
-        sizes = [sum(weights[a:b]) for a, b in found]
-        found = [s for s, n in zip(found, sizes) if n >= near * max(sizes)]
-        chosen = 0
-    return " ".join(x.text for a, b in found for x in lines[a:b] if x.text and x.main == chosen)
+    if any(x.main for x in lines if x.text):
+        return " ".join(x.text for x in lines if x.text and x.main)
+    weights = [0 if 2 * x.links > len(x.text) else len(x.text) for x in lines]
+    groups = joined(lines, segments(weights, window))
+    sizes = [sum(sum(weights[a:b]) for a, b in g) for g in groups]
+    return " ".join(x.text for g, n in zip(groups, sizes) if n >= near * max(sizes) for a, b in g for x in lines[a:b] if x.text)
 
 
 def extract_pages(pages: DataFrame, html_col: str = "html", out_col: str = "text", window: int = 3) -> DataFrame:
