@@ -152,11 +152,39 @@ def test_exact_dedup(spark, docs, rows, weak):
     assert exact_dedup.dedup_table(empty(docs)).count() == 0 and exact_dedup.dedup(empty(docs)).count() == 0
 
 
-def test_exact_dedup_state_goes_on(spark, docs, tmp_path):
-    """A second run over the same state folder needs its arrivals in the same place; here: batches of one file each."""
-    many = docs.repartition(5)
-    found = exact_dedup.dedup_table(many, bytes_per_trigger=1)
-    assert sum(r["kept"] for r in found.collect()) == docs.select(F.coalesce("text", F.lit(""))).distinct().count()
+def test_hot_digests_and_many_hits(spark, docs, rows):
+    for options in ({"hot_rows": 2}, {"hot_rows": 3, "small_hits": 0}, {"hot_rows": 1000, "small_hits": 0, "batches": 1}):
+        found = exact_dedup.dedup_table(docs, **options).collect()
+        assert len(found) == len(rows) and sum(r["kept"] for r in found) == len({t or "" for _, t in rows})
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_exact_dedup_state_goes_on(spark, tmp_path, weak):
+    """Two runs and a repeated one over one state folder: later winners, hits on texts of an earlier run, nothing counted twice."""
+    digest = (lambda c: F.lpad(F.hex(F.octet_length(c) % 2), 4, "0")) if weak else exact_dedup.sha256
+    state = f"file://{tmp_path}/state"
+
+    def saved(name, data):
+        path = f"file://{tmp_path}/{name}"
+        spark.createDataFrame(data, "doc_id bigint, text string").repartition(3).write.parquet(path)
+        return spark.read.parquet(path)
+
+    first, second = [(1, "a text"), (2, "other "), (3, "a text"), (4, None), (5, "single")], [(9, "a text"), (0, "other "), (8, ""), (7, "brand new"), (6, "single?")]
+    one, two = saved("one", first), saved("two", second)
+
+    def result(docs):
+        return {r["id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.dedup_table(docs, digest=digest, state_dir=state).collect()}
+
+    def wanted(of, among):
+        groups = {}
+        for i, t in among:
+            groups.setdefault(t or "", []).append(i)
+        return {i: (max(groups[t or ""]), len(groups[t or ""]), i == max(groups[t or ""])) for i, t in of}
+
+    assert result(one) == wanted(first, first)
+    assert result(two) == wanted(second, first + second)
+    assert result(two) == wanted(second, first + second)
+    assert result(one) == wanted(first, first + second)
 
 
 def plain_fingerprint(text, width=3):
