@@ -139,15 +139,15 @@ def train(
     lang_col: str = "lang",
     id_col: str = "doc_id",
     sample_rows: int = 6_000,
-    most_words: int = 60_000,
-    most_grams: int = 60_000,
+    least: int = 2,
     order: int = 3,
     most: float = 5.0,
     penalty: float = 20.0,
 ) -> Model:
     """Fit on about sample_rows labelled rows (all if there are fewer), chosen by a hash of their id, whole texts.
 
-    Words and character pieces are counted on the executors; the driver gets the most_words and most_grams most frequent.
+    Words and character pieces are counted on the executors; the driver gets the pieces, and the words seen at least `least` times in the sample (a
+    word seen once says less than its pieces do). sample_rows bounds both.
     Rows with a null text or language don't teach. No such rows: a model without languages.
     """
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -181,9 +181,9 @@ def train(
     by_item = counts.groupBy("kind", "item").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("lang", "n"))).alias("by"))
     by_item, _ = store(by_item, "language-counts")
     tables: dict[str, dict[str, dict[str, int]]] = {}
-    for kind, size in (("word", most_words), ("gram", most_grams), ("script", 1000)):
-        top = by_item.where(F.col("kind") == kind).where(F.col("n") > (1 if kind == "word" else 0)).orderBy(F.desc("n"), "item").limit(size)
-        found = top.select("item", "by").toArrow()  # bounded by size
+    for kind in ("word", "gram", "script"):
+        seen = by_item.where(F.col("kind") == kind).where(F.col("n") >= (least if kind == "word" else 1)).orderBy("item")
+        found = seen.select("item", "by").toArrow()  # from sample_rows texts
         tables[kind] = {i: {x["lang"]: x["n"] for x in by} for i, by in zip(found["item"].to_pylist(), found["by"].to_pylist())}
     langs = sorted({lang for by in tables["gram"].values() for lang in by})
 
@@ -208,7 +208,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", prefix: str
     """
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # most_words and most_grams bound it
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # what sample_rows texts hold
     known = bool(model.langs)
     names = (f"{prefix}pred", f"{prefix}score")
     rows = docs.drop(*names)

@@ -82,13 +82,14 @@ def pack(
     group_bytes: int = 8 << 20,
     min_cut: int = 32,
     seed: int = 17,
+    task_groups: int = 16,
 ) -> DataFrame:
     """One row per piece: the id column, start, length, ids (little-endian uint32), doc_tokens, sequence_id, offset.
 
     Each document is its identifiers and then end_id, so an empty or null text is one token; every identifier lies in
-    exactly one piece and no sequence is longer than capacity. Documents fall at random (by row, not by id, so that
-    repeated rows and a hot id spread) into groups of about group_bytes of text; the number of groups grows with the
-    input, and each is packed alone. Rows with the same id are documents of their own. An empty table gives no rows.
+    exactly one piece and no sequence is longer than capacity. Documents fall at random (by id and row number, so that
+    repeated rows and a hot id spread, and a table packs alike wherever it lies) into groups of about group_bytes of text; the number of groups grows with the
+    input, and each is packed alone; a task takes about task_groups of them, one at a time. Rows with the same id are documents of their own. An empty table gives no rows.
     Extra columns are not read.
     """
     path = vocabulary or default_vocabulary()
@@ -96,7 +97,9 @@ def pack(
     rows = located(docs).select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), *LOCATOR)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-total // group_bytes))
-    dealt = rows.select("id", F.pmod(F.xxhash64(F.lit(seed), *LOCATOR), F.lit(groups)).alias("grp"), F.xxhash64(*LOCATOR).alias("uid"), "text")
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-groups // task_groups))
+    chance = F.xxhash64(F.lit(seed), "id", LOCATOR[1])
+    dealt = rows.select("id", F.pmod(chance, F.lit(groups)).alias("grp"), chance.alias("uid"), "text")
 
     def tokenise(batches):
         for b in batches:
@@ -119,5 +122,5 @@ def pack(
         return pa.table(columns, names=["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
 
     tokens = dealt.mapInArrow(tokenise, f"id {id_type}, grp bigint, uid bigint, ids binary")
-    out = tokens.groupBy("grp").applyInArrow(group, f"id {id_type}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
+    out = tokens.repartition(tasks, "grp").groupBy("grp").applyInArrow(group, f"id {id_type}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
     return out.withColumnRenamed("id", id_col)

@@ -5,39 +5,40 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: (verdict, rule); a rule is a host, which holds for its subdomains too, and the start of a path.
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
-#: The labelled table that the default model is trained on.
+#: Words that the labelled table builds its hosts from. Each word is shown with several of the affixes and paths, which both labels share.
 BLOCKED = """
-casino-royal.example/slots/play casino-online.example/en/bonus win-casino.example/jackpot best-casino-win.example/de/12 free-casino.example/spin
-poker-win.example/tables lucky-slots.example/free jackpot-city.example/fr/77 roulette-live.example/play free-bets.example/en/3 best-bets.example/odds
-sport-bets.example/tips betting-tips.example/today bet-win.example/es/45 cheap-pills.example/buy buy-pills.example/order pills-online.example/en/9
-cheap-viagra.example/shop discount-meds.example/rx pharma-cheap.example/de/8 weight-loss-pills.example/now adult-x.example/videos adult-cam.example/live
-xxx-video.example/en/5 hot-adult.example/chat sex-cam.example/fr/6 porn-tube.example/watch nude-pics.example/gallery adult-dating.example/join x-adult.example/en/2 adult-zone.example/de/71 adults-only.example/fr/3
-spam-farm.example/en/17 link-farm.example/list seo-spam.example/links spam-links.example/es/2 backlink-farm.example/buy content-farm.example/fr/90
-ads-track.example/pixel track-ads.example/click ad-server.example/banner adtracker.example/de/4 click-track.example/redirect popup-ads.example/show
-banner-ads.example/en/31 free-download-crack.example/key warez-free.example/iso torrent-crack.example/get keygen-serial.example/free hack-tool.example/cheat
-phish-login.example/verify account-verify-now.example/login fake-bank.example/secure malware-drop.example/exe get-rich-quick.example/money payday-loans.example/apply
-free-money-win.example/claim prize-winner.example/claim cheap-replica.example/watches fake-rolex.example/buy crypto-doubler.example/send
+casino poker roulette jackpot slots betting bets gambling lottery viagra pharmacy pills meds steroids xxx porn sex nude adult escort webcam hookup
+spam phishing malware virus crack keygen warez torrent serial hack popup banner adserver ads tracking clicks redirect payday loans replica fake doubler prize winner
 """.split()
 ALLOWED = """
-www.city-library.example/en/catalogue university.example/courses/12 news-daily.example/en/2020/05 blog.gardener.example/de/roses docs.software.example/guide/3
-m.weather.example/today www.museum.example/fr/collection history-society.example/en/44 blog.baker.example/bread science-journal.example/articles/8
-open-data.example/sets/2 www.school.example/es/calendar recipes.example/en/soup travel-notes.example/fr/alps blog.teacher.example/en/maths
-health-service.example/advice www.parliament.example/bills/7 encyclopedia.example/en/oak wiki.project.example/page/9 forum.cyclists.example/topic/55
-www.theatre.example/de/programme gallery.painter.example/works local-news.example/en/610 m.trains.example/timetable botany.example/es/plants
-blog.writer.example/chapter/2 www.observatory.example/stars physics.example/lectures/4 music-archive.example/scores/31 www.hospital.example/de/visit
-thornton.example/en/225 harthen.example/en/81 blog.anderth.example/fr/462 m.ithond.example/de/7 www.ethand.example/en/903 shereth.example/es/128
-atherine.example/en/640 blog.theston.example/de/38 onthered.example/fr/519 inthened.example/en/276 www.renthe.example/en/311 m.therion.example/es/94
-edthan.example/de/705 blog.sheron.example/en/866 withen.example/fr/150 thanding.example/en/420 hatherly.example/es/333 www.enthold.example/de/612
-anthti.example/en/58 m.ontith.example/fr/6 www.tithen.example/es/40 blog.ntthen.example/de/91
-oundthe.example/en/587 blog.forthe.example/fr/248 m.wheret.example/en/771 arentho.example/es/19 thinking.example/en/505 lythered.example/de/954
+library university museum history science weather recipes garden travel health parliament encyclopedia forum theatre gallery news trains botany writer observatory
+physics music hospital school teacher maths software journal archive data cycling cooking kitchen bakery river mountain village harbour castle bridge forest island
+football tennis chess knitting painting pottery photography poetry novel language dictionary grammar translation philosophy economics law court city council police
+fire station post office bank insurance engineering robotics chemistry biology geology astronomy medicine nursing dentist veterinary farming fishing forestry
+railway airport shipping cars bicycles walking hiking camping sailing skiing swimming running yoga dance opera cinema radio television podcast magazine bookshop
+furniture clothing shoes toys games puzzles hardware tools electric solar wind water energy climate ocean wildlife birds horses dogs cats insects trees flowers
 """.split()
+AFFIXES = "best my online top the world blog home plus one daily site".split()
+TOPS = "com net org info".split()
+PATHS = "/ /index.html /en/12 /de/archive/7 /fr/404 /es/page/3 /about /item?id=5".split()
+
+
+def labelled_table() -> list[tuple[str, str, bool]]:
+    """(host, path, blocked): each word alone and with affixes before and behind it, by rule."""
+    rows = []
+    for blocked, words in ((True, BLOCKED), (False, ALLOWED)):
+        for i, w in enumerate(words):
+            affixes = [AFFIXES[(i + k * (1 + blocked)) % len(AFFIXES)] for k in (1, 3, 5, 7)]
+            joined = [f"{a}{gap}{w}" if k % 2 else f"{w}{gap}{a}" for k, a in enumerate(affixes) for gap in ("-", "")]
+            for j, name in enumerate([w, *joined]):
+                rows.append((f"{name}.{TOPS[(i + j) % len(TOPS)]}", PATHS[(3 * i + j) % len(PATHS)], blocked))
+    return rows
 
 
 @dataclass
@@ -47,53 +48,56 @@ class Model:
     lengths: tuple[int, ...]
     buckets: int
 
-    def score(self, host: str, path: str) -> float:
-        """The probability that a URL is to be blocked."""
-        i, v = features(host, path, self.lengths, self.buckets)
-        return float(1 / (1 + np.exp(-(self.weights[i] @ v + self.bias))))
-
-
-def features(host: str, path: str, lengths: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and values of the n-grams of host and path, hashed apart; each part has length 1, the path weighing a tenth."""
-    ids, values = [], []
-    for part, text, weight in (("h", host, 1.0), ("p", path, 0.1)):
-        padded = f"^{text}$"
-        grams = [xxhash.xxh64_intdigest(part + padded[i : i + n]) % buckets for n in lengths for i in range(len(padded) - n + 1)]
-        if grams:
-            found, count = np.unique(np.array(grams, np.int64), return_counts=True)
-            ids.append(found)
-            values.append(weight * count / np.sqrt((count.astype(float) ** 2).sum()))
-    if not ids:
-        return np.zeros(0, np.int64), np.zeros(0)
-    return np.concatenate(ids), np.concatenate(values)
-
-
-def train(labelled: list[tuple[str, str, bool]], lengths: tuple[int, ...] = (3, 4, 5), buckets: int = 1 << 16, l2: float = 0.002, rounds: int = 400, rate: float = 4.0) -> Model:
+    def scores(self, hosts: list[str], paths: list[str]) -> np.ndarray:
+        """The probability that each URL is to be blocked: one sparse matrix for all of them, times the weights."""
+        row, bucket, value = features(hosts, paths, self.lengths, self.buckets)
+        return 1 / (1 + np.exp(-(np.bincount(row, self.weights[bucket] * value, len(hosts)) + self.bias)))
+
+
+def features(hosts: list[str], paths: list[str], lengths: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, buckets and values of the n-grams of hosts and paths, hashed apart; each part has length 1, the path weighing a tenth."""
+    found = []
+    for part, texts, weight in ((1, hosts, 1.0), (2, paths, 0.1)):
+        padded = [f"^{t}$" for t in texts]
+        chars = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        owner = np.repeat(np.arange(len(padded)), [len(p) for p in padded])
+        rows, grams = [], []
+        for n in lengths:
+            if len(chars) < n:
+                continue
+            h = np.full(len(chars) - n + 1, part * 1000 + n, np.uint64)
+            for j in range(n):
+                h = (h + chars[j : len(h) + j]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            inside = owner[: len(h)] == owner[n - 1 :]
+            rows.append(owner[: len(h)][inside])
+            grams.append((h[inside] % np.uint64(buckets)).astype(np.int64))
+        if not rows:
+            continue
+        keys, count = np.unique(np.concatenate(rows) * np.int64(buckets) + np.concatenate(grams), return_counts=True)
+        row = keys // buckets
+        norm = np.sqrt(np.bincount(row, count.astype(float) ** 2, len(texts)))
+        found.append((row, keys % buckets, weight * count / norm[row]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate([f[i] for f in found]) for i in range(3))
+
+
+def train(labelled: list[tuple[str, str, bool]], lengths: tuple[int, ...] = (3, 4, 5), buckets: int = 1 << 16, l2: float = 0.00001, rounds: int = 1000, rate: float = 60.0) -> Model:
     """Full-batch gradient descent on (host, path, blocked) rows, of which there are few; the same table gives the same model."""
-    rows = [features(h, p, lengths, buckets) for h, p, _ in labelled]
+    row, bucket, value = features([h for h, _, _ in labelled], [p for _, p, _ in labelled], lengths, buckets)
     target = np.array([float(b) for _, _, b in labelled])
-    used = np.unique(np.concatenate([i for i, _ in rows])) if rows else np.zeros(0, np.int64)
-    x = np.zeros((len(rows), len(used)))
-    for r, (i, v) in enumerate(rows):
-        np.add.at(x[r], np.searchsorted(used, i), v)
-    w, bias = np.zeros(len(used)), 0.0
-    for _ in range(rounds if rows else 0):
-        error = 1 / (1 + np.exp(-(x @ w + bias))) - target
-        w -= rate * (x.T @ error / len(rows) + l2 * w)
+    w, bias = np.zeros(buckets), 0.0
+    for _ in range(rounds if labelled else 0):
+        error = 1 / (1 + np.exp(-(np.bincount(row, w[bucket] * value, len(labelled)) + bias))) - target
+        w -= rate * (np.bincount(bucket, error[row] * value, buckets) / len(labelled) + l2 * w)
         bias -= rate * error.mean()
-    weights = np.zeros(buckets)
-    weights[used] = w
-    return Model(weights, float(bias), lengths, buckets)
+    return Model(w, float(bias), lengths, buckets)
 
 
 @functools.cache
 def default_model() -> Model:
-    rows = []
-    for blocked, urls in ((True, BLOCKED), (False, ALLOWED)):
-        for url in urls:
-            host, _, path = url.partition("/")
-            rows += [(host, f"/{path}", blocked), *[(host.replace(".example", f".example.{top}"), f"/{path}", blocked) for top in ("com", "net", "org")]]
-    return train(rows)
+    return train(labelled_table())
 
 
 def host_of(url: Column) -> Column:
@@ -109,7 +113,7 @@ def path_of(url: Column) -> Column:
 def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
     """Struct (rule, verdict) of the longest rule that fits, of equally long ones the first; null if none does."""
     out = F.lit(None).cast("struct<rule:string,verdict:string>")
-    for verdict, rule in sorted(rules, key=lambda r: len(r[1])):
+    for verdict, rule in reversed(sorted(rules, key=lambda r: -len(r[1]))):
         name, _, rest = rule.partition("/")
         fits = ((host == name) | host.endswith(f".{name}")) & path.startswith(f"/{rest}")
         out = F.when(fits, F.struct(F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
@@ -120,13 +124,13 @@ def judge(pages: DataFrame, url_col: str = "url", rules: list[tuple[str, str]] |
     """pages with host, path, rule, score (probability of being blocked) and verdict; one pass, no shuffle.
 
     The verdict is the rule's where one fits, else block from threshold on. Null or a url without :// has an empty host and path, which the model
-    judges like any other. Columns of those names are replaced; other columns and repeated rows stay.
+    judges like any other. Columns of those names are replaced; other columns and repeated rows stay; an empty table gives an empty result.
     """
     fitted = model or default_model()
 
     @F.pandas_udf("double")
     def score(host: pd.Series, path: pd.Series) -> pd.Series:
-        return pd.Series([fitted.score(h, p) for h, p in zip(host, path)], dtype=float)
+        return pd.Series(fitted.scores(host.tolist(), path.tolist()), dtype=float)
 
     url = F.col(url_col).cast("string")
     rows = pages.select(*[c for c in pages.columns if c not in ("host", "path", "rule", "score", "verdict")], host_of(url).alias("host"), path_of(url).alias("path"))
