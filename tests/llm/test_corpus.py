@@ -297,11 +297,18 @@ def test_token_shards(spark, docs, rows):
     for r in found:
         assert r["start"] == at and r["n_tokens"] * 4 == len(r["ids"]) and bytes(r["ids"]) in wanted[r["doc_id"]]
         at += r["n_tokens"]
-    files = [sstable.Shard(bytes(r["content"])) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect()]
+    files = [sstable.Shard(bytes(r["content"])) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*.txt").load(path).collect()]
     for i, values in wanted.items():
         got = sorted(v for f in files for v in f.get(sstable.encode_key(i)))
         assert sorted(sstable.decode_value(v).tobytes() for v in got) == sorted(values)
     assert not any(f.get(sstable.encode_key(10**9)) for f in files)
+    asked = [None, 0, -9, 10**9, 21, 30]
+    got = sorted((str(r["doc_id"]), bytes(r["ids"])) for r in sstable.lookup(spark, path, asked).collect())
+    assert got == sorted((str(i), v) for i in asked for v in wanted.get(i, []))
+    hot = spark.createDataFrame([(7, f"text number {i} " * 40) for i in range(60)] + [(6, "a"), (8, "b")], "doc_id bigint, text string").repartition(3)
+    sstable.write_tokens(hot, path + "-hot", shard_bytes=8000)
+    index = sstable.read_index(spark, path + "-hot").collect()
+    assert sum(r["entries"] for r in index) == 62 and sum(r["entries"] > 0 for r in index) >= 3 and sstable.lookup(spark, path + "-hot", [7]).count() == 60
     sstable.write_tokens(empty(docs), path + "-empty")
     assert sstable.read_tokens(spark, path + "-empty").count() == 0
 
