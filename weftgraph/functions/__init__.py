@@ -62,3 +62,22 @@ def merge_maps(a: Column, b: Column, combine: Callable[[Column, Column], Column]
 def as_json(*columns: str) -> Column:
     """The columns as a JSON object; NaN becomes null."""
     return F.to_json(F.struct(*[F.when(F.col(c).cast("string") == "NaN", None).otherwise(F.col(c)).alias(c) for c in columns]))
+
+
+def log_time(at: Column) -> Column:
+    """A time as console logs show it."""
+    return F.date_format(at, "yyyy-MM-dd HH:mm:ss")
+
+
+def bits_of(numbers: Column) -> Column:
+    """An array of numbers from 0 to 63 as a set of bits."""
+    return F.aggregate(numbers, F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x.cast("int"))))
+
+
+def has_bit(bits: Column, number: Column) -> Column:
+    return F.call_function("shiftrightunsigned", bits, number.cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
+def numbers_of(bits: Column) -> Column:
+    """The numbers in a set of bits, in order."""
+    return F.filter(F.sequence(F.lit(0), F.lit(63)), lambda x: has_bit(bits, x))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,3 +70,19 @@ def all_hold(vertices: DataFrame, predicate: Column) -> bool:
 def map_reduce(vertices: DataFrame, mapped: Column, reduce: Callable[[Column], Column], neutral=None) -> DataFrame:
     """A column of each vertex, then an aggregate of it; vertices without a value don't count."""
     return vertices.select(mapped.alias("m")).where("m IS NOT NULL").agg(F.coalesce(reduce(F.col("m")), F.lit(neutral)).alias("reduced"))
+
+
+@dataclass(frozen=True)
+class Aggregation:
+    """An aggregation of one's own in two halves. extract: a column of each vertex (null: it doesn't count). worker: named aggregates of that column `x`, which Spark
+    combines on the executors first. final: a column of the worker's names. neutral: the result without any vertex that counts."""
+
+    extract: Callable[[], Column]
+    worker: dict[str, Callable[[], Column]]
+    final: Callable[[], Column]
+    neutral: object = None
+
+    def over(self, vertices: DataFrame) -> DataFrame:
+        """One row, column `result`."""
+        halves = vertices.select(self.extract().alias("x")).where("x IS NOT NULL").agg(F.count(F.lit(1)).alias("__n"), *[part().alias(name) for name, part in self.worker.items()])
+        return halves.select(F.when(F.col("__n") > 0, self.final()).otherwise(F.lit(self.neutral)).alias("result"))

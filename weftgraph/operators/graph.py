@@ -8,6 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def one_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row for each value of keys: the one whose other columns are least, in their order, so the same one wherever rows come from."""
+    others = [c for c in rows.columns if c not in keys]
+    if not others:
+        return rows.distinct()
+    return rows.groupBy(*keys).agg(F.min(F.struct(*others)).alias("__one")).select(*[F.col(c) if c in keys else F.col(f"__one.{c}").alias(c) for c in rows.columns])
+
+
 @dataclass(frozen=True)
 class PropertyGraph:
     """vertices: id and any other columns (state, vtype, ...), one row an id. edges: src, dst, weight and any others, one row a (src, dst)."""
@@ -17,13 +25,9 @@ class PropertyGraph:
 
     @classmethod
     def of(cls, edges: DataFrame, vertices: DataFrame | None = None) -> PropertyGraph:
-        """From an edge list: one edge for each (src, dst), weight 1 unless given; vertices are the ends unless given."""
-        if "weight" not in edges.columns:
-            edges = edges.withColumn("weight", F.lit(1.0)).dropDuplicates(["src", "dst"])
-        else:
-            others = [c for c in edges.columns if c not in ("src", "dst")]
-            edges = edges.groupBy("src", "dst").agg(F.min(F.struct(*others)).alias("e")).select("src", "dst", "e.*")
-            edges = edges.withColumn("weight", F.col("weight").cast("double"))
+        """From an edge list: one edge for each (src, dst), the least of several; weight 1 unless given; vertices are the ends unless given."""
+        edges = edges if "weight" in edges.columns else edges.withColumn("weight", F.lit(1.0))
+        edges = one_each(edges.withColumn("weight", F.col("weight").cast("double")), ["src", "dst"])
         if vertices is None:
             vertices = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
         return cls(vertices, edges)

@@ -25,9 +25,9 @@ def by_substring(vertices: DataFrame, part: str, limit: int | None = None) -> Da
 
 
 def top_degree(graph: PropertyGraph, n: int) -> DataFrame:
-    """The n vertices with the largest out + in degree (a loop counts twice)."""
-    ends = graph.edges.select(F.col("src").alias("id")).union(graph.edges.select("dst"))
-    return ends.groupBy("id").agg(F.count(F.lit(1)).alias("degree")).orderBy(F.desc("degree"), "id").limit(n)
+    """The n vertices with the largest out + in degree (a loop counts twice; a vertex without edges has 0)."""
+    ends = graph.edges.select(F.col("src").alias("id")).union(graph.edges.select("dst")).groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
+    return graph.vertices.select("id").join(ends, "id", "left").na.fill(0, ["degree"]).orderBy(F.desc("degree"), "id").limit(n)
 
 
 def top_state(vertices: DataFrame, n: int, lowest: bool = False) -> DataFrame:
@@ -52,7 +52,7 @@ def neighbours(graph: PropertyGraph, ids: DataFrame, incoming: bool = True) -> D
 def vicinity(graph: PropertyGraph, ids: DataFrame, radius: int = 3, incoming: bool = False) -> DataFrame:
     """Ids within radius hops of ids, themselves included; each hop looks only at the last ring."""
     everything = ring = ids.select("id").distinct()
-    for _ in range(min(radius, MOST_RADIUS)):
+    for _ in range(radius):
         ring = neighbours(graph, ring, incoming).join(everything, "id", "left_anti")
         everything = everything.union(ring)
     return everything
@@ -85,12 +85,13 @@ def describe(graph: PropertyGraph, ids: DataFrame, score_signal: Callable[[], Co
 def query(graph: PropertyGraph, kind: str, *, n: int = 5, threshold: float = 0.0, part: str = "", names: list[str] | None = None, score: Column | None = None, radius: int = 0, incoming: bool = False) -> DataFrame:
     """One request: ids of the kind asked for, with their vicinity of radius hops.
 
-    kind: ids, substring, highest_state, lowest_state, highest_degree, above_score or sample.
+    kind: ids, substring, highest_state, lowest_state, highest_degree, above_score or sample. ValueError beyond MOST_IDS vertices or names, or MOST_RADIUS hops.
     """
-    n = min(n, MOST_IDS)
+    if n > MOST_IDS or len(names or ()) > MOST_IDS or radius > MOST_RADIUS:
+        raise ValueError(f"a request may ask for {MOST_IDS} vertices and {MOST_RADIUS} hops at most")
     v = graph.vertices
     if kind == "ids":
-        found = by_ids(v, (names or [])[:MOST_IDS])
+        found = by_ids(v, names or [])
     elif kind == "substring":
         found = by_substring(v, part, n)
     elif kind in ("highest_state", "lowest_state"):
@@ -106,3 +107,12 @@ def query(graph: PropertyGraph, kind: str, *, n: int = 5, threshold: float = 0.0
     else:
         raise ValueError(f"unknown kind of request: {kind}")
     return vicinity(graph, found, radius, incoming) if radius else found.select("id")
+
+
+def fetch_graph(graph: PropertyGraph, names: list[str], kind: str | None = None, *, radius: int = 0, incoming: bool = False, score_signal: Callable[[], Column] | None = None, score_collect: Callable[[], Column] | None = None, **request) -> DataFrame:
+    """One request as a console makes it: the vertices of names and those a request finds, with their vicinity, described (see describe)."""
+    found = by_ids(graph.vertices, names).select("id")
+    if kind:
+        found = found.union(query(graph, kind, **request)).distinct()
+    near = vicinity(graph, found, radius, incoming) if radius else found
+    return describe(graph, near, score_signal, score_collect)

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 class Mode(str, Enum):
     SYNCHRONOUS = "synchronous"
-    #: The asynchronous modes run the same supersteps: programs with one fixpoint give the same result, and
-    #: schedule-dependent ones get a deterministic schedule.
+    #: Without a barrier between all vertices: halves of them (by a hash of the id) take turns, and each sees what the other just did. Programs
+    #: with one fixpoint give the same result, usually after less work; schedule-dependent ones get a deterministic schedule.
     ASYNCHRONOUS = "asynchronous"
+    #: One synchronous step, then the same.
     OPTIMIZED_ASYNCHRONOUS = "optimized_asynchronous"
     CONTINUOUS = "continuous"
     INTERACTIVE = "interactive"
@@ -33,8 +34,8 @@ class ExecutionConfig:
     """signal_threshold, collect_threshold: a vertex acts if its score is strictly above.
 
     should_stop: called with the vertices after every check_every collect steps. on_missing_target: what happens to a message
-    for a vertex that doesn't exist: error, drop or create (with create_state). partitions: of edges and vertices; None: the session's.
-    hub_edges: out-edges of one vertex that a partition takes before they are spread. adaptive_edges: edges from which steps are planned adaptively.
+    for a vertex that doesn't exist: error, drop or create (with create_state). partitions: of edges and vertices; None: the session's, and one for
+    graphs of at most local_edges edges, whose steps then are one task each. hub_edges: out-edges of one vertex that a partition takes before they are spread.
     """
 
     mode: Mode = Mode.SYNCHRONOUS
@@ -48,7 +49,7 @@ class ExecutionConfig:
     create_state: Callable | None = None
     partitions: int | None = None
     hub_edges: int = 1_000_000
-    adaptive_edges: int = 5_000_000
+    local_edges: int = 100_000
 
     def with_(self, **changes) -> ExecutionConfig:
         return replace(self, **changes)

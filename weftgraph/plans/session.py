@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -38,6 +39,8 @@ class Session:
         self.breaks: dict[int, Break] = {}
         self.phase = "signal"
         self.reason = Reason.ONGOING
+        self.hits: list[int] = []
+        self._paused, self._worker, self._failed = threading.Event(), None, None
 
     @property
     def vertices(self) -> DataFrame:
@@ -96,6 +99,8 @@ class Session:
         """Phases until a condition holds (its numbers), `until` is true of the vertices, nothing is active, or a number of phases."""
         n = 0
         while most_phases is None or n < most_phases:
+            if self._paused.is_set():
+                return []
             done = self.step()
             n += 1
             if hit := self.broken(done):
@@ -107,6 +112,33 @@ class Session:
                 return []
         return []
 
+    def start(self, **options) -> None:
+        """Run in the background (see run), until its end or pause; `hits` then holds what run gave."""
+        if self._worker and self._worker.is_alive():
+            raise RuntimeError("the session is running")
+        self._paused.clear()
+
+        def work() -> None:
+            try:
+                self.hits = self.run(**options)
+            except Exception as e:  # shown by wait, where the caller is
+                self._failed = e
+
+        self._worker = threading.Thread(target=work, daemon=True)
+        self._worker.start()
+
+    def wait(self) -> None:
+        if self._worker:
+            self._worker.join()
+        if self._failed:
+            failed, self._failed = self._failed, None
+            raise failed
+
+    def pause(self) -> None:
+        """Stop a run in the background after the phase it is in; start goes on from there."""
+        self._paused.set()
+        self.wait()
+
     def reset(self) -> None:
         """Back to the graph as it was at the start."""
         old = self.computation

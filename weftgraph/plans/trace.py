@@ -49,3 +49,8 @@ def verified(a: DataFrame, b: DataFrame) -> DataFrame:
 def top_activity(info: ExecutionInfo, n: int) -> list[tuple[int, float]]:
     """The n steps that took longest: (step, seconds)."""
     return sorted(((m.step, m.seconds) for m in info.metrics), key=lambda x: (-x[1], x[0]))[:n]
+
+
+def most_messages(computation: Computation, n: int) -> DataFrame:
+    """The n vertices that the most messages of one step can reach (id, messages): those that take longest to collect."""
+    return computation.graph.in_degrees().withColumnRenamed("in_degree", "messages").orderBy(F.desc("messages"), "id").limit(n)

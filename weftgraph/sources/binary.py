@@ -44,3 +44,25 @@ def read_varint_splits(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame({"id": [r[0] for r in rows], "targets": [r[1] for r in rows]})
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(records, "id bigint, targets array<bigint>")
+
+
+def decode_backwards(data: bytes) -> Iterable[int]:
+    """The numbers from the last to the first: a number ends where the next byte, or none, has its top bit clear before it."""
+    end = len(data)
+    while end:
+        begin = end - 1
+        while begin and data[begin - 1] > 0x7F:
+            begin -= 1
+        yield next(iter(decode_varints(data[begin:end])))
+        end = begin
+
+
+def write_varint_split(spark: SparkSession, path: str, records: Iterable[tuple[int, list[int]]]) -> None:
+    """One split of (id, targets) records as a file, on any file system that Spark knows."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p)
+    try:
+        for vertex_id, targets in records:
+            out.write(bytearray(encode_varints([vertex_id, len(targets), *targets])))
+    finally:
+        out.close()

@@ -46,9 +46,10 @@ def read_adjacency(spark: SparkSession, path: str, lines_matter: bool = True) ->
 
 
 def read_edge_list(spark: SparkSession, path: str) -> DataFrame:
-    """src, dst from lines of two integers, in any order; # starts a comment."""
-    words = _tokens(spark.read.text(path)).where(F.size("words") >= 2)
-    return words.select(F.col("words")[0].cast("long").alias("src"), F.col("words")[1].cast("long").alias("dst"))
+    """src, dst from lines of two integers, in any order; # starts a comment. A line with one number raises."""
+    words = _tokens(spark.read.text(path)).where(F.size("words") > 0)
+    both = F.when(F.size("words") >= 2, F.col("words")).otherwise(F.raise_error(F.concat(F.lit("not an edge: "), "value")).cast("array<string>"))
+    return words.select(both[0].cast("long").alias("src"), both[1].cast("long").alias("dst"))
 
 
 def grouped_by_source(edges: DataFrame) -> DataFrame:
@@ -71,6 +72,19 @@ def read_triples(spark: SparkSession, path: str, prefix: str = "", separator: st
     return rows.where(F.col("dst").startswith(prefix))
 
 
+def neighbourhood(triples: DataFrame, seeds: list[str], depth: int) -> PropertyGraph:
+    """The graph of triples (src, dst) within depth steps of the seeds: each level follows only the objects found last."""
+    edges = triples.select("src", "dst").distinct()
+    level = found = triples.sparkSession.createDataFrame([(s,) for s in seeds], "id string").distinct()
+    taken = edges.where("false")
+    for _ in range(depth):
+        out = edges.join(level.withColumnRenamed("id", "src"), "src", "left_semi")
+        taken = taken.union(out)
+        level = out.select(F.col("dst").alias("id")).distinct().join(found, "id", "left_anti")
+        found = found.union(level)
+    return PropertyGraph.of(taken, found)
+
+
 HREF = r"""<a\s[^>]*?href=["']?([^"'\s>]+)"""
 
 
@@ -100,12 +114,4 @@ def crawl(pages: DataFrame, seeds: list[str], depth: int, url_col: str = "url",
 
     pages stand for the web: an address without a page has no links. Each level joins only the addresses found last.
     """
-    level = pages.sparkSession.createDataFrame([(s,) for s in seeds], "id string").distinct()
-    found, edges = level, page_links(pages, url_col, html_col)
-    taken = edges.where("false")
-    for _ in range(depth):
-        out = edges.join(level.withColumnRenamed("id", "src"), "src", "left_semi")
-        taken = taken.union(out)
-        level = out.select(F.col("dst").alias("id")).distinct().join(found, "id", "left_anti")
-        found = found.union(level)
-    return PropertyGraph.of(taken, found)
+    return neighbourhood(page_links(pages, url_col, html_col), seeds, depth)

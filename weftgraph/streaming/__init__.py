@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -60,9 +62,19 @@ class Continuous:
 
         return self._start(stream, apply, **trigger)
 
-    def await_idle(self) -> None:
+    def await_idle(self, timeout_s: float | None = None) -> bool:
+        """Wait until all that came in is worked off, at most timeout_s; whether it was. Under a millisecond: no wait, False."""
+        if timeout_s is not None and timeout_s < 0.001:
+            return False
+        ends = None if timeout_s is None else time.monotonic() + timeout_s
         for query in self.queries:
-            query.processAllAvailable() if query.isActive else query.awaitTermination()
+            while query.isActive and (query.status["isDataAvailable"] or query.status["isTriggerActive"] or not query.recentProgress):
+                if ends is not None and time.monotonic() > ends:
+                    return False
+                time.sleep(0.05)
+            if not query.isActive and query.exception():
+                raise query.exception()
+        return True
 
     def stop(self) -> None:
         for query in self.queries:
@@ -75,19 +87,23 @@ def one_hop_totals(signals: DataFrame, edges: DataFrame) -> DataFrame:
     return signals.join(edges, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("value") * F.col("weight")).alias("total"))
 
 
-def work_list(items: DataFrame, key: str, keep, process) -> DataFrame:
-    """A stateful stream whose state is a list of items by key, drained as they come: keep says which items are work, process turns an item
-    into text. Rows: key, item, result. Items of a key are processed in order of their values within a batch, and their number is kept."""
+def work_list(items: DataFrame, key: str, keep, process, at_a_time: int = 1000) -> DataFrame:
+    """A stateful stream whose state is a list of items by key, worked off as batches come: keep says which items are work, process turns an item
+    into text. Rows: key, item, result, n_done (how many of the key were done by then).
+
+    In each batch a key's new work joins its list, in the order of the items, and the first at_a_time are done; the others wait in the state for the key's
+    next batch."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def drain(k, frames, state):
         import pandas as pd
 
-        done = state.get[0] if state.exists else 0
-        work = sorted(x for f in frames for x in f["item"] if keep(x))
-        state.update((done + len(work),))
+        done, waiting = state.get if state.exists else (0, [])
+        waiting = sorted([*waiting, *(x for f in frames for x in f["item"] if keep(x))])
+        work, waiting = waiting[:at_a_time], waiting[at_a_time:]
+        state.update((done + len(work), waiting))
         yield pd.DataFrame({"key": [k[0]] * len(work), "item": work, "result": [process(x) for x in work], "n_done": range(done + 1, done + len(work) + 1)})
 
     kind = dict(items.dtypes)
     schema = f"key {kind[key]}, item {kind['item']}, result string, n_done bigint"
-    return items.groupBy(key).applyInPandasWithState(drain, schema, "n bigint", "append", GroupStateTimeout.NoTimeout)
+    return items.groupBy(key).applyInPandasWithState(drain, schema, f"n bigint, waiting array<{kind['item']}>", "append", GroupStateTimeout.NoTimeout)
