@@ -220,10 +220,10 @@ def vertices_by_ids(spark, d):
     return query.by_ids(geo(spark, d).vertices, ["1", "101", "1005", "-3", "none"]).select("id", "vtype")
 
 
-@registered("SELECT 30::BIGINT AS n, 30::BIGINT AS n_valid")
+@registered(f"WITH {GEO} SELECT least(30, count(*)) AS n, least(30, count(*)) AS n_valid, least(30, count(*)) AS n_distinct FROM v")
 def sample_ids_hash(spark, d):
     v = geo(spark, d).vertices
-    return agg.sample_ids(v, 30).join(v.select("id", F.lit(1).alias("there")), "id", "left").agg(F.count(F.lit(1)).alias("n"), F.count("there").alias("n_valid"))
+    return agg.sample_ids(v, 30).join(v.select("id", F.lit(1).alias("there")), "id", "left").agg(F.count(F.lit(1)).alias("n"), F.count("there").alias("n_valid"), F.count_distinct("id").alias("n_distinct"))
 
 
 SEEDS = "SELECT id FROM v WHERE id IN (SELECT id FROM v ORDER BY id LIMIT 2)"
@@ -251,11 +251,12 @@ def vicinity_both_2(spark, d):
     return query.vicinity(g, seeds(g), 2, incoming=True)
 
 
-@registered(f"WITH {FLOW}, s AS (SELECT id FROM v ORDER BY id LIMIT 20) SELECT s.id, count(e.dst) AS n_edges FROM s LEFT JOIN (SELECT * FROM e WHERE dst IN (SELECT id FROM s)) e ON e.src = s.id GROUP BY s.id")
+@registered(f"WITH {FLOW}, s AS (SELECT id FROM v ORDER BY id LIMIT 20) SELECT s.id, count(e.dst) AS n_edges, (s.id % 7)::VARCHAR || '.0' AS state, (s.id % 3)::DOUBLE AS signal_score, (SELECT min(id % 7) FROM v)::DOUBLE AS lowest, (SELECT max(id % 7) FROM v)::DOUBLE AS highest FROM s LEFT JOIN (SELECT * FROM e WHERE dst IN (SELECT id FROM s)) e ON e.src = s.id GROUP BY s.id")
 def induced_subgraph(spark, d):
     g = flow(spark, d)
-    g = PropertyGraph(g.vertices.withColumn("state", F.lit(0.0)), g.edges)
-    return query.describe(g, g.vertices.select("id").orderBy("id").limit(20)).select("id", "n_edges")
+    g = PropertyGraph(g.vertices.withColumn("state", (F.col("id") % 7).cast("double")), g.edges)
+    found = query.describe(g, g.vertices.select("id").orderBy("id").limit(20), score_signal=lambda: (F.col("id") % 3).cast("double"))
+    return found.select("id", "n_edges", "state", "signal_score", "lowest", "highest")
 
 
 # aggregations
@@ -449,7 +450,7 @@ UNION ALL SELECT '101', s.dst FROM e s WHERE s.src = 101 AND s.dst < 0"""
 def path_pattern_geo(spark, d):
     g = geo(spark, d)
     supplier = Any(lambda: F.col("vtype") == "supplier")
-    region = {n: g.edges.where(F.col("dst") == n).first()["src"] for n in (100, 101)}
+    region = {n: (g.edges.where(F.col("dst") == n).first() or {"src": -1})["src"] for n in (100, 101)}
     found = [path_pattern(g, region[n], [Fixed(n), Star(2, lambda: F.col("vtype") == "customer"), supplier]) for n in (100, 101)]
     return found[0].union(found[1]).select(F.col("path")[0].cast("string").alias("nation"), F.col("path")[1].alias("supplier"))
 
@@ -593,9 +594,12 @@ def continuous_updates(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from weftgraph import catalog_more  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(ORACLES)
 
