@@ -217,13 +217,14 @@ def write_tokens(
     text_col: str = "text",
     end_id: int = 2,
     vocabulary: str | None = None,
-    shard_bytes: int = 64 << 20,
+    shard_bytes: int = 32 << 20,
+    most_shards: int = 1_000_000,
 ) -> None:
     """Write docs as shards to path, in ascending order of id over all shards (part files in order of their names).
 
     A null or empty text is end_id alone. A null id sorts first; rows with the same id stand beside each other, by a hash of their
     text; many of them are spread over several shards, as ranges are cut by both. An empty table gives shards without entries. Extra columns are not read. The number
-    of shards grows with the text; a shard is written as a stream, so a very long text holds one block in memory. Ids are integers.
+    of shards grows with the text, a shard for shard_bytes of it, up to most_shards, which then hold more each; a shard is written as a stream, so a very long text holds one block in memory. Ids are integers.
     """
     vocab = vocabulary or default_vocabulary()
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
@@ -249,7 +250,7 @@ def write_tokens(
 
     # ordered before encoding: the sampling for the ranges then costs a scan, not a second encoding
     order = [F.col("id").asc_nulls_first(), "spread"]
-    ordered = rows.select("*", F.xxhash64("text").alias("spread")).repartitionByRange(max(1, -(-total // shard_bytes)), *order)
+    ordered = rows.select("*", F.xxhash64("text").alias("spread")).repartitionByRange(max(1, min(most_shards, -(-total // shard_bytes))), *order)
     ordered = ordered.sortWithinPartitions(*order, "text").select("id", "text")
     ordered.mapInArrow(run, "section binary").select(F.col("section").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
     _write_index(docs.sparkSession, path)
@@ -329,5 +330,5 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
 
     found = _shards(spark, path).select("content").mapInArrow(entries, "doc_id bigint, shard bigint, start bigint, n_tokens bigint, ids binary")
-    starts = read_index(spark, path).select("shard", F.col("start").alias("base"))  # a row for each shard_bytes of text
+    starts = read_index(spark, path).select("shard", F.col("start").alias("base"))  # most_shards rows at most
     return found.join(F.broadcast(starts), "shard").select("doc_id", "shard", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids")
