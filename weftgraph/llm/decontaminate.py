@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.shared import text_or_empty
+from weftgraph.llm.shared import slices, text_or_empty
 
 #: Scripts that are written without spaces: Thai, Lao, Burmese, Khmer, kana and Han.
 SPACELESS = "\u0e01-\u0e3a\u0e40-\u0e4e\u0e81-\u0ece\u0edc-\u0edf\u1000-\u103f\u1050-\u108f\u1780-\u17d3\u3005-\u3007\u3041-\u3096\u309d-\u309f\u30a1-\u30fa\u30fc-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U00020000-\U0003ffff"
@@ -242,7 +242,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         def run(batches, shared=shared):
             index = shared.value.index
-            for b in batches:
+            for b in slices(batches):
                 found = index.search(b.column("text").to_pylist())
                 ids = b.column("id").take(pa.array([f[0] for f in found], pa.int64()))
                 items = pa.array([index.items[f[1]][0] for f in found], arrow_item)
@@ -260,7 +260,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
-            for b in batches:
+            for b in slices(batches, text_col):
                 bad = {f[0] for f in shared.value.index.search([t or "" for t in b.column(text_col).to_pylist()])}
                 yield b.take(pa.array([i for i in range(len(b)) if i not in bad], pa.int64()))
 

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.shared import slices
+
 #: Elements whose content isn't markup, and those whose content is never shown as text.
 RAW = set("script style iframe textarea title xmp noembed noframes".split())
 QUIET = set("noscript template svg math object canvas select datalist optgroup option button".split())
@@ -392,7 +394,7 @@ def extract_pages(pages: DataFrame, html_col: str = "html", out_col: str = "text
     schema = StructType([*[f for f in rows.schema.fields if f.name != "__html"], StructField(out_col, StringType())])
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, "__html"):
             texts = [extract(p, window) for p in b.column("__html").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(texts, pa.string())], [*kept, out_col])
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.shared import store, text_or_empty
+from weftgraph.llm.shared import slices, store, text_or_empty
 
 #: First code points of script ranges, in order: fixed values of the Unicode blocks. Anything below the first is Latin.
 SCRIPTS = [
@@ -53,7 +53,7 @@ class Model:
     order: int
     most: float
     penalty: float
-    kept: int = 300_000
+    kept: int = 100_000
     known: dict[str, int] = field(default_factory=dict, repr=False)
     scores: np.ndarray | None = field(default=None, repr=False)
 
@@ -165,7 +165,7 @@ def train(
                     yield pa.RecordBatch.from_arrays([pa.array([kind] * n, pa.string()), pa.array([lang] * n, pa.string()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["kind", "lang", "item", "n"])
                 by_lang.clear()
 
-        for b in batches:
+        for b in slices(batches):
             for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()):
                 grams, scripts, found = tables["gram"][lang], tables["script"][lang], Counter(WORD.findall(text.lower()))
                 tables["word"][lang].update(found)
@@ -173,7 +173,7 @@ def train(
                     scripts[script_of(w[0])] += n
                     for g in pieces(w, order):
                         grams[g] += n
-            if sum(map(len, tables["word"].values())) > 300_000:
+            if sum(map(len, tables["word"].values())) > 100_000:
                 yield from out()
         yield from out()
 
@@ -216,7 +216,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", prefix: str
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in slices(batches, text_col):
             found = [m.predict(t) if t and known else ("und", 0.0) for t in b.column(text_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*b.schema.names, *names])
 
@@ -230,7 +230,7 @@ def spans(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for i, text in enumerate(b.column("text").to_pylist()):
                 found = list(WORD.finditer(text.lower())) if m.langs else []

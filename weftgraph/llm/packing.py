@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.shared import LOCATOR, located, text_or_empty
+from weftgraph.llm.shared import LOCATOR, located, slices, text_or_empty
 from weftgraph.llm.tokens import default_vocabulary, encode
 
 
@@ -102,7 +102,7 @@ def pack(
     dealt = rows.select("id", F.pmod(chance, F.lit(groups)).alias("grp"), chance.alias("uid"), "text")
 
     def tokenise(batches):
-        for b in batches:
+        for b in slices(batches):
             ids = [np.append(encode(t, path), np.uint32(end_id)).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("grp"), b.column("uid"), pa.array(ids, pa.binary())], ["id", "grp", "uid", "ids"])
 

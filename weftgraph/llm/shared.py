@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +66,18 @@ def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut where a column of texts reaches `most` bytes, so that what is made of a slice stays small; a longer text stands alone."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = done = 0
+        while at < len(b):
+            end = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
+            yield b.slice(at, end - at)
+            at, done = end, int(ends[end - 1])
+    pa.default_memory_pool().release_unused()
+
+
 LOCATOR = ("__weft_file", "__weft_row")
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.components import components
-from weftgraph.llm.shared import LOCATOR, located, store, text_or_empty
+from weftgraph.llm.shared import LOCATOR, located, slices, store, text_or_empty
 
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = located(docs).select(F.col(id_col).alias("id"), *LOCATOR, text_or_empty(text_col).alias("text"))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             fp = np.array([fingerprint(t, width) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column(LOCATOR[0]), b.column(LOCATOR[1]), pa.array(fp)], ["id", *LOCATOR, "fp"])
 

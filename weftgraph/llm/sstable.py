@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftgraph.llm.shared import text_or_empty
+from weftgraph.llm.shared import slices, text_or_empty
 from weftgraph.llm.tokens import default_vocabulary, encode
 
 MAGIC = b"WEFTSST2"
@@ -236,7 +236,7 @@ def write_tokens(
         def rows_of(sections: list[bytes]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(sections, pa.binary())], ["section"])
 
-        for b in batches:
+        for b in slices(batches):
             ready: list[bytes] = []
             for doc_id, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
                 ids = np.append(encode(text, vocab), np.uint32(end_id))
