@@ -27,6 +27,9 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",  # else each partition reserves megabytes ahead
     "spark.sql.streaming.metricsEnabled": "false",
+    # on a local file system the default manager starts a process for each link it looks at, and checksum files double what is written
+    "spark.sql.streaming.checkpointFileManagerClass": "org.apache.spark.sql.execution.streaming.checkpointing.FileSystemBasedCheckpointFileManager",
+    "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false",
 }
 KEY = ["digest", "n_bytes"]
 
