@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.llm.shared import LOCATOR, exists, located, new_dir, store, text_or_empty
+from weftgraph.llm.shared import LOCATOR, exists, located, new_dir, store, text_or_empty, without
 
 STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -177,5 +177,4 @@ def dedup_table(
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs without the rows that repeat another's text; columns and extra columns as they were."""
     rows = located(docs)
-    gone = dedup_table(rows, id_col, text_col, **options).where("NOT kept").select(*LOCATOR)
-    return rows.join(gone, list(LOCATOR), "left_anti").select(*docs.columns)
+    return without(rows, dedup_table(rows, id_col, text_col, **options).where("NOT kept")).select(*docs.columns)

@@ -102,3 +102,9 @@ def located(docs: DataFrame) -> DataFrame:
 
 def text_or_empty(text_col: str = "text"):
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+
+
+def without(rows: DataFrame, gone: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Located rows but those whose locators are in gone. Up to `most` locators are broadcast, so that the texts of what stays needn't move; beyond that both sides are shuffled."""
+    gone, _ = store(gone.select(*LOCATOR).distinct(), "gone")
+    return rows.join(F.broadcast(gone) if gone.count() <= most else gone.hint("merge"), list(LOCATOR), "left_anti")
