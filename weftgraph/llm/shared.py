@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +37,15 @@ def new_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_folders: ContextVar[set[str] | None] = ContextVar("folders", default=None)
+
+
 def store(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors. Inside scratch() the folder goes at its end."""
     spark = df.sparkSession
     path = new_dir(spark, label)
+    if _folders.get() is not None:
+        _folders.get().add(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -54,6 +60,19 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[set[str]]:
+    """Folders that are stored inside go at the end, but those taken out of the set; frames that read the others must be done by then."""
+    folders: set[str] = set()
+    token = _folders.set(folders)
+    try:
+        yield folders
+    finally:
+        _folders.reset(token)
+        for path in folders:
+            remove_dir(spark, path)
+
+
 @contextmanager
 def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of a step go when the step ends, so that those of several steps do not add up on disk. Results are the same."""
@@ -104,7 +123,22 @@ def text_or_empty(text_col: str = "text"):
     return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
 
+def _marked(rows: DataFrame, marked: DataFrame, how: str, most: int) -> DataFrame:
+    """Located rows with __weft_hit: whether their locators are in marked. Locators are kept as a bit each in words of 64 rows of a file, so there are at most as many words as marked rows, and
+    no more than a 64th of all rows. Up to `most` words are broadcast, and no row moves; beyond that both sides are shuffled."""
+    word, bit = F.shiftright(LOCATOR[1], 6), F.expr(f"cast({LOCATOR[1]} & 63 as int)")
+    words = marked.select(LOCATOR[0], word.alias("__weft_word"), F.expr(f"shiftleft(1L, cast({LOCATOR[1]} & 63 as int))").alias("bit"))
+    words, _ = store(words.groupBy(LOCATOR[0], "__weft_word").agg(F.bit_or("bit").alias("__weft_bits")), "marks")
+    joined = rows.withColumn("__weft_word", word).join(F.broadcast(words) if words.count() <= most else words.hint("merge"), [LOCATOR[0], "__weft_word"], how)
+    hit = F.coalesce(F.call_function("getbit", F.col("__weft_bits"), bit) == 1, F.lit(False))
+    return joined.select(*rows.columns, hit.alias("__weft_hit"))
+
+
+def within(rows: DataFrame, wanted: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Located rows whose locators are in wanted; rows don't move unless wanted is in more than `most` words of 64 rows."""
+    return _marked(rows, wanted, "inner", most).where("__weft_hit").drop("__weft_hit")
+
+
 def without(rows: DataFrame, gone: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """Located rows but those whose locators are in gone. Up to `most` locators are broadcast, so that the texts of what stays needn't move; beyond that both sides are shuffled."""
-    gone, _ = store(gone.select(*LOCATOR).distinct(), "gone")
-    return rows.join(F.broadcast(gone) if gone.count() <= most else gone.hint("merge"), list(LOCATOR), "left_anti")
+    """Located rows but those whose locators are in gone; rows don't move unless gone is in more than `most` words of 64 rows."""
+    return _marked(rows, gone, "left", most).where("NOT __weft_hit").drop("__weft_hit")
